@@ -1,11 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from corpusgraph.llm import topk
+from corpusgraph.llm import sharding, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op4_sharding": sharding.op4_sharding,
+    "op7_url_filter": urls.op7_url_filter,
 }
 
 ORACLE_SQL = {
     "op1_exact_topk": topk.OP1_SQL,
+    "op7_url_filter": urls.OP7_SQL,
 }
