@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from corpusgraph.llm import packing, sharding, tokenfile, topk, urls
+from corpusgraph.llm import langid, packing, sharding, tokenfile, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op3_packing": packing.op3_packing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_language_id": langid.op5_language_id,
     "op7_url_filter": urls.op7_url_filter,
     "op8_token_files": tokenfile.op8_token_files,
 }
