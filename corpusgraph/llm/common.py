@@ -71,11 +71,15 @@ def _inverse(odd: int) -> int:
 
 _BASE = 0xD1342543DE82EF95
 _BLOCK = 1 << 16
-_POW = np.ones(_BLOCK, np.uint64)
-_IPOW = np.ones(_BLOCK, np.uint64)
-with np.errstate(over="ignore"):
-    np.multiply.accumulate(np.concatenate([[1], np.full(_BLOCK - 1, _BASE, np.uint64)]).astype(np.uint64), out=_POW)
-    np.multiply.accumulate(np.concatenate([[1], np.full(_BLOCK - 1, _inverse(_BASE), np.uint64)]).astype(np.uint64), out=_IPOW)
+
+
+def _power_table(base: int) -> np.ndarray:
+    factors = np.full(_BLOCK, base, np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
+
+
+_POW, _IPOW = _power_table(_BASE), _power_table(_inverse(_BASE))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -136,3 +140,15 @@ def shingles(words: np.ndarray, counts: np.ndarray, n: int = 5) -> tuple[np.ndar
                 sets.append(np.zeros(0, np.uint64))
     sizes = np.array([len(s) for s in sets], np.int64)
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes
+
+
+def portions(texts: list[str | None], most: int = 1 << 21):
+    """(first, last) of runs of texts with some `most` characters together, so that arrays over them stay small."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size > most:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)

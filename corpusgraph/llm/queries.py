@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from corpusgraph.llm import langid, packing, sharding, tokenfile, topk, urls
+from corpusgraph.llm import langid, linededup, packing, sharding, tokenfile, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -9,9 +9,11 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op7_url_filter": urls.op7_url_filter,
     "op8_token_files": tokenfile.op8_token_files,
+    "op9_line_dedup": linededup.op9_line_dedup,
 }
 
 ORACLE_SQL = {
     "op1_exact_topk": topk.OP1_SQL,
     "op7_url_filter": urls.OP7_SQL,
+    "op9_line_dedup": linededup.OP9_SQL,
 }
