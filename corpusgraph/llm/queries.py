@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from corpusgraph.llm import langid, linededup, packing, sharding, tokenfile, topk, urls
+from corpusgraph.llm import jaccard, langid, linededup, packing, sharding, tokenfile, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_packing": packing.op3_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_language_id": langid.op5_language_id,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_topk": topk.OP1_SQL,
+    "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op7_url_filter": urls.OP7_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
 }
