@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from corpusgraph.llm import jaccard, langid, linededup, packing, sharding, tokenfile, topk, urls
+from corpusgraph.llm import decontam, jaccard, langid, linededup, packing, sharding, tokenfile, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_language_id": langid.op5_language_id,
+    "op6_decontamination": decontam.op6_decontamination,
     "op7_url_filter": urls.op7_url_filter,
     "op8_token_files": tokenfile.op8_token_files,
     "op9_line_dedup": linededup.op9_line_dedup,
