@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from corpusgraph.llm import decontam, jaccard, langid, linededup, packing, sharding, tokenfile, topk, urls
+from corpusgraph.llm import decontam, jaccard, langid, linededup, packing, pii, sharding, tokenfile, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_url_filter": urls.op7_url_filter,
     "op8_token_files": tokenfile.op8_token_files,
     "op9_line_dedup": linededup.op9_line_dedup,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {
