@@ -1,12 +1,12 @@
 """Exact Jaccard join of documents on word shingles, by partition of the universe of shingles.
 
 Two sets r and s with a Jaccard similarity of 0.75 or more differ in at most (|r| + |s|) / 7 elements. For each band of
-sizes the universe is cut by hash into segments. A difference spoils at most one segment, so if a set fills more segments
-than the sets may differ in, some filled segment is the same in both; and by the order of all subsets (large ones first,
-as they are the rarest) it is among the first H + 1 of either. Each set is indexed by those H + 1 subsets. That is the
-cheapest allocation: one key buys one difference. A set that fills too few segments is indexed by the one-deletion
-neighbourhoods of its segments of two and more elements instead, each of which buys two. Candidates are verified on the
-whole sets.
+sizes the universe is cut by hash into segments. A difference spoils at most one segment, so if a set fills k segments and
+the sets differ in at most H, at least k - H of their subsets are equal; so in any one order of all subsets, the first
+equal one is among the first H + 1 of either. The order is by cost: subsets are counted, and each set leaves out its most
+frequent ones, all but H + 1. One such key buys one difference. A set that fills too few segments is also indexed by the
+one-deletion neighbourhoods of its segments of two and more elements, each of which buys two. Candidates are verified on
+the whole sets.
 
 Before that, sets that can have no partner are left out: one whose shingles are shared with any other set to less than
 three quarters. Shingles are counted in slices of the hash space, as packed arrays, four bytes and a place each.
@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusgraph.llm.common import blocks_of, cut, mix64, portions, shingles, stored, table, word_hashes
 from corpusgraph.llm.components import components
@@ -32,7 +33,7 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 SHINGLES_PER_SLICE = 1 << 22
 #: Upper ends of the bands of set sizes grow by this factor; segments are this share of the upper end.
-BAND_GROWTH, SEGMENT_SHARE = 1.25, 0.45
+BAND_GROWTH, SEGMENT_SHARE = 1.25, 0.7
 
 _SHARED_DOC = 0xFFFF
 _DOCS_AT_ONCE = 60_000
@@ -165,8 +166,8 @@ def bands(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def index_keys(elements: np.ndarray) -> np.ndarray:
-    """The keys of one set: see the module's text. elements: sorted, distinct."""
+def index_keys(elements: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(band, spare, keys) of one set: it may leave out the `spare` most frequent keys of a band. elements: sorted, distinct."""
     n, out = len(elements), []
     mixed = mix64(elements)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
@@ -177,35 +178,41 @@ def index_keys(elements: np.ndarray) -> np.ndarray:
         sizes, names = last - first, of[first]
         subset = sums[last] - sums[first]
         tag = (names + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1) * np.uint64(0xD6E8FEB86659FD93)
+        out.append((band, max(0, len(first) - allowed - 1), mix64(subset ^ tag)))
         if len(first) > allowed:
-            best = np.lexsort((names, -sizes))[: allowed + 1]
-            out.append(mix64(subset[best] ^ tag[best]))
             continue
         several = sizes >= 2
         if 2 * several.sum() <= allowed:
-            out.append(mix64(np.array([band], np.uint64) + np.uint64(0xA0761D6478BD642F)))
+            out.append((band, 0, mix64(np.array([band], np.uint64) + np.uint64(0xA0761D6478BD642F))))
         place = np.repeat(several, sizes)
         whose = np.repeat(np.arange(len(first)), sizes)[place]
         one_less = subset[whose] - mixed[place]
         deletion = np.uint64(0xE7037ED1A0B428DB)
-        out.append(mix64(np.concatenate([subset[several], one_less]) ^ np.concatenate([tag[several], tag[whose]]) ^ deletion))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+        out.append((band, 0, np.unique(mix64(np.concatenate([subset[several], one_less]) ^ np.concatenate([tag[several], tag[whose]]) ^ deletion))))
+    return out
+
+
+_POSTING = "key long, doc long, band int, spare int"
 
 
 def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(parts: list) -> pd.DataFrame:
+        sizes = [len(k) for *_, k in parts]
+        columns = [np.repeat(np.array([p[i] for p in parts]), sizes) for i in range(3)]
+        return pd.DataFrame({"key": np.concatenate([k for *_, k in parts]).astype(np.int64), "doc": columns[0], "band": columns[1], "spare": columns[2]})
+
     for batch in batches:
-        docs, keys, size = [], [], 0
+        parts, size = [], 0
         with np.errstate(over="ignore"):
             for doc, raw in zip(batch["doc_id"].tolist(), batch["elements"].tolist(), strict=True):
-                k = index_keys(np.frombuffer(raw, "<u8"))
-                docs.append(np.full(len(k), doc))
-                keys.append(k)
-                size += len(k)
+                for band, spare, keys in index_keys(np.frombuffer(raw, "<u8")):
+                    parts.append((doc, band, spare, keys))
+                    size += len(keys)
                 if size > 1 << 18:
-                    yield pd.DataFrame({"key": np.concatenate(keys).astype(np.int64), "doc": np.concatenate(docs)})
-                    docs, keys, size = [], [], 0
-        if docs:
-            yield pd.DataFrame({"key": np.concatenate(keys).astype(np.int64), "doc": np.concatenate(docs)})
+                    yield rows(parts)
+                    parts, size = [], 0
+        if parts:
+            yield rows(parts)
 
 
 def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,14 +236,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) of similar sets that connect all that similar sets connect. sets: doc_id, n, elements, all different.
 
-    Documents with a common key are compared with the smallest one of that key first; documents that are found connected
-    are not compared again. What no comparison with a smallest document connects is compared in pairs.
+    Documents with a common key are compared with one centre of that key first; documents that are found connected are
+    not compared again. What no comparison with a centre connects is compared in pairs.
     """
-    postings = sets.select("doc_id", "elements").mapInPandas(_indexed, "key long, doc long")
-    postings = stored(postings, "postings")
-    lowest = postings.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
-    postings = stored(postings.join(lowest, "key"), "shared-postings")
-    stars = postings.where("low < doc").groupBy(F.col("low").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
+    postings = stored(sets.select("doc_id", "elements").mapInPandas(_indexed, _POSTING), "postings")
+    often = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    costly = F.row_number().over(Window.partitionBy("doc", "band").orderBy(F.desc("n"), F.desc("key")))
+    postings = postings.join(often, "key").withColumn("nth", costly).where("nth > spare").select("key", "doc", "n")
+    postings = stored(postings, "cheap-postings")
+    # the document of a key that has the most in common with all others is compared with the rest of them first
+    weight = postings.groupBy("doc").agg(F.sum("n").alias("w"))
+    centre = F.max_by("doc", F.struct("w", -F.col("doc")))
+    weighed = postings.join(weight, "doc")
+    centres = weighed.groupBy("key").agg(centre.alias("centre"), F.count("*").alias("docs")).where("docs > 1").select("key", "centre")
+    postings = stored(postings.select("key", "doc").join(centres, "key"), "shared-postings")
+    stars = postings.where("centre <> doc").groupBy(F.col("centre").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
     stars = cut(stars)
     # each document with the one it has the most keys in common with
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
@@ -254,7 +268,8 @@ def links(sets: DataFrame) -> DataFrame:
             pairs = p.join(q, "key").where("component <> ca and a < doc").select("a", F.col("doc").alias("b")).distinct()
         for end in "ab":
             pairs = pairs.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-        pairs = pairs.where("ca <> cb").select("a", "b").join(seen, ["a", "b"], "left_anti")
+        tried = seen.select("a", "b").union(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = pairs.where("ca <> cb").select("a", "b").join(tried, ["a", "b"], "left_anti")
         seen = cut(seen.unionByName(verified(pairs, sets)))
     return seen.where("ok").select("a", "b")
 
