@@ -479,10 +479,10 @@ def _q_queries(spark, sf_dir):
     return vectors, words, vectors.join(words, "query_id", "full")
 
 
-@_query(f"with {_Q1} select query_id, rank::int as rank, document_id, chunk_index, round(distance, 6) as distance, content as snippet from v where rank <= 10")
+@_query(f"with {_Q1} select query_id, rank::int as rank, document_id, chunk_index, round(distance, 6) + 0.0 as distance, content as snippet from v where rank <= 10")
 def q1_vector_search(spark, sf_dir):
     vectors, _, _ = _q_queries(spark, sf_dir)
-    return search.vector_search(_view(spark, sf_dir, _Q_CHUNKS), _view(spark, sf_dir, _Q_DOCS), vectors, 10).withColumn("distance", F.round("distance", 6))
+    return search.vector_search(_view(spark, sf_dir, _Q_CHUNKS), _view(spark, sf_dir, _Q_DOCS), vectors, 10).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
 @_query(f"with {_Q2} select query_id, rank::int as rank, document_id, round(score, 6) as score from t where rank <= 10")
