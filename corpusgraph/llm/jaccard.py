@@ -35,6 +35,9 @@ SHINGLES_PER_SLICE = 1 << 22
 #: Upper ends of the bands of set sizes grow by this factor; segments are this share of the upper end.
 BAND_GROWTH, SEGMENT_SHARE = 1.25, 0.7
 
+#: Of a block of documents that are compared at once; shingles of a matrix product.
+DOCS_PER_BLOCK, SHINGLES_PER_BLOCK, COLUMNS_AT_ONCE = 256, 1 << 18, 1 << 13
+
 _SHARED_DOC = 0xFFFF
 _DOCS_AT_ONCE = 60_000
 
@@ -236,8 +239,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) of similar sets that connect all that similar sets connect. sets: doc_id, n, elements, all different.
 
-    Documents with a common key are compared with one centre of that key first; documents that are found connected are
-    not compared again. What no comparison with a centre connects is compared in pairs.
+    Each document is compared with one central document first, the one it has the most keys in common with. Documents with
+    a common key that this doesn't connect are then compared in tiles.
     """
     postings = stored(sets.select("doc_id", "elements").mapInPandas(_indexed, _POSTING), "postings")
     often = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -254,24 +257,74 @@ def links(sets: DataFrame) -> DataFrame:
     stars = cut(stars)
     # each document with the one it has the most keys in common with
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    seen = cut(verified(best, sets))
-    for round_ in range(2):
-        edges = seen.where("ok").select("a", "b")
-        label = cut(components(edges))
-        if round_ == 0:
-            pairs = stars.select("a", "b")
-        else:
-            p = postings.select("key", "doc").join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-            open_ = p.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-            p = p.join(open_, "key", "left_semi")
-            q = p.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"))
-            pairs = p.join(q, "key").where("component <> ca and a < doc").select("a", F.col("doc").alias("b")).distinct()
-        for end in "ab":
-            pairs = pairs.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-        tried = seen.select("a", "b").union(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = pairs.where("ca <> cb").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        seen = cut(seen.unionByName(verified(pairs, sets)))
-    return seen.where("ok").select("a", "b")
+    edges = cut(verified(best, sets)).where("ok").select("a", "b")
+    label = components(edges)
+    rows = postings.select("key", "doc").join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    rows = stored(rows, "labelled-postings")
+    open_ = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    return edges.unionByName(compared_in_tiles(rows.join(open_, "key", "left_semi"), sets))
+
+
+def compared_in_tiles(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between different components of documents that share a key: as few as connect all that similar sets do.
+
+    postings: key, doc, component. Documents are gathered in blocks of bounded size, by the most frequent key they have; each
+    pair of blocks with a common key is a tile, in which all sets are compared at once by matrix products. So the rows that
+    move are the sets of a block, once for each tile, and no pairs of documents.
+    """
+    often = postings.groupBy("key").agg(F.count("*").alias("m"))
+    leader = postings.join(often, "key").groupBy("doc", "component").agg(F.max_by("key", F.struct("m", "key")).alias("leader"))
+    leader = leader.join(sets.select(F.col("doc_id").alias("doc"), "n"), "doc")
+    total = leader.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / DOCS_PER_BLOCK), F.ceil(F.sum("n") / SHINGLES_PER_BLOCK)).alias("parts"))
+    block = F.xxhash64("leader", F.pmod(F.xxhash64("doc"), "parts"))
+    blocks = cut(leader.join(total, "leader").select("doc", "component", block.alias("block")))
+    has = postings.select("key", "doc").join(blocks.select("doc", "block"), "doc").select("key", "block").distinct()
+    # of keys with the same blocks one is enough
+    same = has.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("block").cast("decimal(38,0)")).alias("h")).groupBy("n", "h").agg(F.min("key").alias("key"))
+    has = cut(has.join(same.select("key"), "key", "left_semi"))
+    pairs = has.join(has.select("key", F.col("block").alias("other")), "key").where("block <= other").select("block", "other").distinct()
+    tiles = pairs.select(F.xxhash64("block", "other").alias("tile"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    members = tiles.join(blocks, "block").join(sets.select(F.col("doc_id").alias("doc"), "elements"), "doc")
+    return members.select("tile", "doc", "component", "elements").groupBy("tile").applyInPandas(_tile_links, "a long, b long")
+
+
+def _tile_links(rows: pd.DataFrame) -> pd.DataFrame:
+    docs, component = rows["doc"].to_numpy(), rows["component"].to_numpy()
+    names, of = np.unique(component, return_inverse=True)
+    none = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+    if len(names) < 2:
+        return none
+    arrays = [np.frombuffer(x, "<u8") for x in rows["elements"]]
+    n = np.array([len(x) for x in arrays])
+    words, column, often = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1  # a shingle of one set alone is in no intersection
+    keep = often[column] > 1
+    row, column = np.repeat(np.arange(len(docs)), n)[keep], place[column[keep]]
+    both = np.zeros((len(docs), len(docs)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int((often > 1).sum()), COLUMNS_AT_ONCE):
+        a, b = np.searchsorted(column, [first, first + COLUMNS_AT_ONCE])
+        part = np.zeros((len(docs), COLUMNS_AT_ONCE), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    similar = (100 * both >= PERCENT * (n[:, None] + n[None, :] - both)) & (of[:, None] < of[None, :])
+    i, j = np.nonzero(similar)
+    _, at = np.unique(of[i] * len(names) + of[j], return_index=True)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for k in at.tolist():
+        x, y = find(int(of[i[k]])), find(int(of[j[k]]))
+        if x != y:
+            root[x] = y
+            out.append((int(docs[i[k]]), int(docs[j[k]])))
+    return pd.DataFrame(out, columns=["a", "b"]) if out else none
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
