@@ -1,0 +1,44 @@
+"""Every query against its SQL on the smallest tables."""
+
+import math
+import re
+
+import duckdb
+import pytest
+
+from corpusgraph.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def shown(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else repr(round(v, 9))
+    if isinstance(v, list | tuple):
+        return "[" + ",".join(map(shown, v)) + "]"
+    return str(v)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, duck, name):
+    df = QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted(tuple(shown(r[c]) for c in columns) for r in df.select(*columns).collect())
+    rel = duck.sql(ORACLE_SQL[name])
+    assert sorted(rel.columns) == columns
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    want = sorted(tuple(map(shown, r)) for r in duck.sql(f"select {quoted} from ({ORACLE_SQL[name]}) t").fetchall())
+    assert got == want
+
+
+def test_names_are_unique_and_lower_case():
+    assert all(re.fullmatch(r"[a-z]\d+_\w+", n) for n in QUERIES)
