@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusgraph import fixtures as fx
 from corpusgraph.functions import text
 from corpusgraph.operators import catalog, chunking, embed, extract, maintain, relations, search, validate
+from corpusgraph.sources import files
+from corpusgraph.streaming.ingest import ingest_stream, read_stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +34,40 @@ def _docs(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return text.classify_files(_view(spark, sf_dir, sql).withColumnRenamed("id", "document_id").withColumn("filename", F.col("title")).drop("doc_type"))
 
 
+# --- files, tables and streams ----------------------------------------------------------------------
+
+_LINES = "select 'note ' || cast(doc_id as string) || ' from ' || source as line from documents where source is not null"
+
+
+def _written_files(spark, sf_dir, n: int) -> str:
+    """The lines of a view as n text files."""
+    folder = files.new_folder(spark, "files")
+    _view(spark, sf_dir, _LINES).repartition(n, "line").write.text(folder)
+    return folder
+
+
+@_query(_LINES)
+def s1_scan_files(spark, sf_dir):
+    found = files.scan_files(spark, _written_files(spark, sf_dir, 16))
+    return found.select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
+
+
+@_query(f"select 'document' as kind, id as a, doc_type as b, title as c from ({fx.CORPUS}) d union all select 'chunk', document_id, cast(chunk_index as varchar), content from ({fx.CHUNKS}) c")
+def s2_write_read(spark, sf_dir):
+    folder = files.new_folder(spark, "corpus")
+    files.write_corpus({"documents": _view(spark, sf_dir, fx.CORPUS), "chunks": _view(spark, sf_dir, fx.CHUNKS)}, folder)
+    back = files.read_corpus(spark, folder)
+    docs = back["documents"].select(F.lit("document").alias("kind"), F.col("id").alias("a"), F.col("doc_type").alias("b"), F.col("title").alias("c"))
+    return docs.unionByName(back["chunks"].select(F.lit("chunk").alias("kind"), F.col("document_id").alias("a"), F.col("chunk_index").cast("string").alias("b"), F.col("content").alias("c")))
+
+
+@_query(_LINES)
+def t1_ingest_stream(spark, sf_dir):
+    out = files.new_folder(spark, "stream")
+    ingest_stream(spark, _written_files(spark, sf_dir, 4), out, embed.hashing_embedder(16), 16, f"{out}/checkpoint").awaitTermination()
+    return read_stored(spark, out, "chunks").select(F.explode(F.split("content", "\n")).alias("line"))
+
+
 # --- scalar functions and validation ----------------------------------------------------------------
 
 FILES = """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,14 @@ from corpusgraph.functions.text import extension
 TABLES = ("documents", "chunks", "document_relations", "tags", "document_tags")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusgraph-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def with_names(files: DataFrame, base: str) -> DataFrame:
     """binaryFile rows as documents: document_id, title (path below base), filename, tags (its folders), content.
 
