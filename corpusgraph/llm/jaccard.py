@@ -31,7 +31,7 @@ from corpusgraph.llm.linededup import only_with
 SHINGLE_WORDS = 5
 #: Linked from 100 * intersection >= PERCENT * union on; the bounds below are those of 75.
 PERCENT = 75
-SHINGLES_PER_SLICE = 1 << 22
+SHINGLES_PER_SLICE = 1 << 21
 #: Upper ends of the bands of set sizes grow by this factor; segments are this share of the upper end.
 BAND_GROWTH, SEGMENT_SHARE = 1.25, 0.7
 

@@ -281,10 +281,10 @@ def identify(docs: DataFrame, who: Identifier | None) -> DataFrame:
         model.prepare()
         for texts in batches:
             parts, part, size = [], [], 0
-            for t in texts:  # some 4 M letters at a time
+            for t in texts:  # some million letters at a time
                 part.append(t)
                 size += len(t or "")
-                if size > 1 << 22:
+                if size > 1 << 20:
                     parts.append(model.predict(part))
                     part, size = [], 0
             if part or not parts:
