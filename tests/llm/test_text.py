@@ -234,6 +234,43 @@ def test_decontamination(spark):
     assert decontam.leaks(df.where("1 = 0"), bench).count() == 0
 
 
+def _windows_with_leak(items, i, words):
+    """Whether any window of the text holds the item, by its longest common subsequence with every one."""
+    n = len(items.words[i])
+    size = decontam.BLOCK_WORDS * (decontam.SHORT_BLOCKS if n <= decontam.SHORT_ITEM else decontam.LONG_BLOCKS)
+    for start in range(0, len(words), decontam.BLOCK_WORDS):
+        region = words[max(0, start - n // 2) : start - n // 2 + max(n, size) + 2 * (n // 2)]
+        share, answer = decontam.lcs(items.words[i], region) / n, decontam.lcs(items.answers[i], region) / len(items.answers[i])
+        if share >= decontam.CERTAIN or share >= decontam.MIN_LCS and answer >= decontam.MIN_ANSWER:
+            return True
+    return False
+
+
+def test_decontamination_recall_of_long_items_and_paraphrases(spark):
+    rng = random.Random(13)
+    words = [t.split() for t in (r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").orderBy("doc_id").collect()) if t]
+    long = [w for w in words if len(w) > 520]
+    items, docs = [], []
+    for i, (n, kept) in enumerate([(n, kept) for n in (20, 45, 100, 200, 300, 500) for kept in (1.0, 0.7) for _ in range(12)]):
+        source, other = rng.sample(long, 2)
+        at = rng.randrange(len(source) - n)
+        item = source[at : at + n]
+        copy = [w if rng.random() < kept else rng.choice(other) for w in item]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(other[: rng.randrange(200)] + copy + other[300 : 300 + rng.randrange(200)])))
+    assert max(b - a for n in range(65, 2000) for a, b in decontam.parts_of(n)) <= decontam.PART_WORDS
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(df, bench).collect()}
+    rows = [{"item_id": i, "text": t, "answer": None} for i, t in items]
+    prepared = decontam.prepared(rows, np.ones((decontam.FEATURES, 1), np.float32), np.ones(decontam.FEATURES, np.float32))
+    want = {(i, i) for i, t in docs if _windows_with_leak(prepared, i, word_hashes([t])[0].tolist())}
+    assert len(want) >= 120
+    verbatim = {(i, i) for i in range(len(items)) if i // 12 % 2 == 0}
+    assert verbatim <= want and verbatim <= got
+    assert len(want & got) >= 0.95 * len(want)
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
