@@ -20,9 +20,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that equal, or are one word away from, an earlier line go; so do documents that have no other lines."""
+    """Lines of any length that equal an earlier line, and longer ones that are one word away from one, go; so do documents
+    that have no other lines."""
     docs = docs.select(*COLUMNS)
-    return linededup.without_lines(docs, linededup.dropped_lines(docs.select("doc_id", "text")))
+    return linededup.without_lines(docs, linededup.dropped_lines(docs.select("doc_id", "text"), every_line=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

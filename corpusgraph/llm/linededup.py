@@ -15,6 +15,7 @@ not, is alike. Places are ordered by doc_id, then line number.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from corpusgraph.llm.common import _BASE, _IPOW, _ODD, _POW, _inverse, _powers, blocks_of, cut, mix64, portions, stored, table, word_hashes
 from corpusgraph.llm.urls import BITS_PER_URL, bloom_words, with_possible_hits
 
-#: Shorter lines are left alone: one word of a few is no small difference.
+#: Shorter lines are alike only if they are equal: one word of a few is no small difference.
 MIN_WORDS = 8
+#: Characters of scripts without blanks between words, each a word of its own where lines of any length take part.
+NO_BLANKS = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 
 _OCCURRENCES = "line long, doc_id long, line_no int, keys array<long>"
 
@@ -66,7 +69,12 @@ def half_keys(s: _Sums, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def _occurrences(min_words: int):
+def spaced(line: str) -> str:
+    """The line with blanks around each character of a script without them."""
+    return line if line.isascii() else NO_BLANKS.sub(r" \1 ", line)
+
+
+def _occurrences(min_words: int, min_equal: int, by_character: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
@@ -81,24 +89,31 @@ def _occurrences(min_words: int):
 
     def rows(lines, docs, numbers) -> pd.DataFrame:
         with np.errstate(over="ignore"):
-            words, counts = word_hashes(lines)
+            words, counts = word_hashes([spaced(x) for x in lines] if by_character else lines)
             ends = np.cumsum(counts)
-            keep = np.flatnonzero(counts >= min_words)
+            keep = np.flatnonzero(counts >= min_equal)
             a, b = (ends - counts)[keep], ends[keep]
             s = _Sums(words)
-            return pd.DataFrame({"line": s.span(a, b).astype(np.int64), "doc_id": np.array(docs, np.int64)[keep], "line_no": np.array(numbers, np.int32)[keep], "keys": list(half_keys(s, a, b).astype(np.int64))})
+            long = counts[keep] >= min_words
+            own = iter(half_keys(s, a[long], b[long]).astype(np.int64))
+            keys = [next(own) if x else None for x in long.tolist()]
+            return pd.DataFrame({"line": s.span(a, b).astype(np.int64), "doc_id": np.array(docs, np.int64)[keep], "line_no": np.array(numbers, np.int32)[keep], "keys": keys})
 
     return run
 
 
-def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _words_of(by_character: bool):
     """The word hashes of the chosen lines of each text."""
-    for batch in batches:
-        for text, chosen in zip(batch["text"].tolist(), batch["chosen"].tolist(), strict=True):
-            own = text.split("\n")
-            rows = [(c["line"], own[c["line_no"]]) for c in chosen if c["line_no"] < len(own)]
-            words, counts = word_hashes([r[1] for r in rows])
-            yield pd.DataFrame({"line": [r[0] for r in rows], "words": np.split(words.astype(np.int64), np.cumsum(counts)[:-1])})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, chosen in zip(batch["text"].tolist(), batch["chosen"].tolist(), strict=True):
+                own = text.split("\n")
+                rows = [(c["line"], own[c["line_no"]]) for c in chosen if c["line_no"] < len(own)]
+                words, counts = word_hashes([spaced(r[1]) if by_character else r[1] for r in rows])
+                yield pd.DataFrame({"line": [r[0] for r in rows], "words": np.split(words.astype(np.int64), np.cumsum(counts)[:-1])})
+
+    return run
 
 
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,14 +147,15 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[ok, ["line", "first"]]
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, every_line: bool = False) -> DataFrame:
     """The lines that go: (doc_id, line_no, near); near is false where an equal line stands earlier.
 
-    docs: doc_id, text; other columns are left out. Rows with a null doc_id or text, and lines with fewer than min_words
-    words, take no part. Rows that repeat a doc_id count as one document. An empty table gives no rows.
+    docs: doc_id, text; other columns are left out. Rows with a null doc_id or text take no part. With every_line, lines
+    of any length but blank ones go if an equal one stands earlier, those of min_words words if one an edit away does, and
+    each character of a script without blanks is a word; without it, lines with fewer than min_words words take no part. Rows that repeat a doc_id count as one document. An empty table gives no rows.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stored(usable.mapInPandas(_occurrences(min_words), _OCCURRENCES), "lines")
+    seen = stored(usable.mapInPandas(_occurrences(min_words, 1 if every_line else min_words, every_line), _OCCURRENCES), "lines")
     place = F.struct("doc_id", "line_no")
     lines = seen.groupBy("line").agg(F.min(place).alias("place"), F.max(place).alias("last"), F.first("keys").alias("keys"))
     lines = stored(lines, "distinct-lines")
@@ -149,7 +165,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     alike = halves.join(shared, "key", "left_semi").select("line").distinct()
     chosen = cut(lines.select("line", "place").join(alike, "line", "left_semi").select("line", "place.doc_id", "place.line_no"))
     by_doc = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_no")).alias("chosen"))
-    words = only_with(usable, by_doc, "doc_id").join(by_doc, "doc_id").select("text", "chosen").mapInPandas(_words_of, "line long, words array<long>")
+    words = only_with(usable, by_doc, "doc_id").join(by_doc, "doc_id").select("text", "chosen").mapInPandas(_words_of(every_line), "line long, words array<long>")
     words = stored(words.dropDuplicates(["line"]).join(chosen, "line"), "line-words")
     # variants with one word deleted: only the earliest line of a group counts for the others
     variants = words.mapInPandas(_variants, "line long, doc_id long, line_no int, variant long, placed long")

@@ -174,6 +174,18 @@ def test_line_dedup_equals_brute_force(spark):
     assert left == want
 
 
+def test_line_dedup_of_lines_of_any_length(spark):
+    import corpus_pipeline as p
+
+    lines = ["}", "see  below", "See below", "see above", "", "", "one two three four five six seven", "one two three four five six seven eight", "one two three four five six seven nine", "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec", "\u4eca\u5929\u5929\u6c14\u4e0d\u597d\u6211\u4eec", "\u4f60\u597d", "\u60a8\u597d", "}"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "}\n\u4f60\u597d\nnew\n"), (3, "}")], "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]): r["near"] for r in linededup.dropped_lines(docs, every_line=True).collect()}
+    assert got == {(1, 2): False, (1, 8): True, (1, 10): True, (1, 13): False, (2, 0): False, (2, 1): False, (3, 0): False}
+    full = docs.selectExpr("doc_id", "text", "'en' as lang", "'x' as source", "length(text) as n_chars")
+    left = {r["doc_id"]: r["text"] for r in p.line_dedup(spark, full, SF).collect()}
+    assert left == {1: "\n".join(x for i, x in enumerate(lines) if (1, i) not in got), 2: "new\n"}
+
+
 def test_one_edit():
     rng = random.Random(9)
     for _ in range(500):
