@@ -318,8 +318,7 @@ def x2_link_references(spark, sf_dir):
 
 @_query(f"select id as document_id, unnest(['mod_' || (n % 200) || '.c']) as ref, 0::int as pos from ({fx.NOTES}) c")
 def x3_filename_mentions(spark, sf_dir):
-    notes = _docs(spark, sf_dir, fx.NOTES)
-    return extract.filename_mentions(notes.withColumn("content", F.regexp_extract("content", r"See [^\n]*", 0)))
+    return extract.filename_mentions(_docs(spark, sf_dir, fx.NOTES))
 
 
 @_query(f"select id as document_id, 0::int as pos, 'R' || (n % 7 + 1) as designator, '10K' as value, null::varchar as lib from ({fx.BOARDS}) b union all select id, 1, 'U' || n, 'STM32F' || n, null from ({fx.BOARDS}) b")

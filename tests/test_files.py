@@ -144,3 +144,12 @@ def test_empty_tables(spark, files):
     assert chunking.chunk_corpus(none).count() == 0
     assert extract.call_edges(none).count() == 0
     assert text.assemble_text(none.withColumn("pos", F.lit(1)), "document_id", "pos", "content").count() == 0
+
+
+def test_filename_mentions_query_reads_whole_notes(spark, tmp_path):
+    from corpusgraph.queries import QUERIES
+
+    rows = [(1, "Start in src/main.py,\nthen drv\\uart.h and src/main.py; see example.com", "en", "web"), (2, "nothing", "en", "web"), (3, None, "en", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["document_id"], r["pos"], r["ref"]) for r in QUERIES["x3_filename_mentions"](spark, str(tmp_path)).collect())
+    assert got == [("n1", 0, "src/main.py"), ("n1", 1, "drv\\uart.h"), ("n1", 2, "mod_1.c"), ("n2", 0, "mod_2.c")]
