@@ -22,6 +22,9 @@ from corpusgraph.llm.common import cut, table, uniform_key
 TRAIN_DOCS_PER_LANG = 1000
 #: Of these, one in so many is kept out of the counts and calibrates the rejection.
 CALIBRATE_ONE_IN = 5
+#: Languages with fewer texts to calibrate with are scored by cross-validation, and share the deviations of all languages
+#: if even so they have fewer. With fewer in all languages together nothing is rejected for its cross-entropy.
+ENOUGH_TEXTS = 20
 ORDER, LETTER_BITS = 4, 6
 OTHER_LETTER = (1 << LETTER_BITS) - 1
 UNDETERMINED = "und"
@@ -232,30 +235,60 @@ def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG) -> Identi
     who = Identifier(letters, {lang: Model.fit(g["code"].to_numpy(np.uint32), g["n"].to_numpy()) for lang, g in counts.groupby("lang")})
     if not who.models:
         return None
-    _calibrate(who, sample.where(F.col("nth") % CALIBRATE_ONE_IN == 0))
+    rare = [lang for lang, n in totals.items() if min(n, docs_per_lang) // CALIBRATE_ONE_IN < ENOUGH_TEXTS]
+    judged_by = F.when(F.col("lang").isin(rare), _fold_name(F.col("lang"), F.col("nth"))).otherwise(F.col("lang"))
+    judged = sample.where(F.col("lang").isin(rare) | (F.col("nth") % CALIBRATE_ONE_IN == 0)).select("lang", "text", judged_by.alias("judge"))
+    _calibrate(who, Identifier(letters, who.models | _fold_models(sample, rare, letters)), judged)
     return who
 
 
-def _calibrate(who: Identifier, kept_out: DataFrame) -> None:
+def _fold_name(lang: Column, nth: Column) -> Column:
+    return F.concat(lang, F.lit("\n"), (nth % CALIBRATE_ONE_IN).cast("string"))
+
+
+def _fold_models(sample: DataFrame, rare: list[str], letters: list[int]) -> dict[str, Model]:
+    """For each fold of a language with few texts, the model of its other folds."""
+    if not rare:
+        return {}
+    few = sample.where(F.col("lang").isin(rare)).select(_fold_name(F.col("lang"), F.col("nth")).alias("lang"), "text")
+    counts = few.mapInPandas(_counted(letters), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    folds, models = dict(list(counts.groupby("lang"))), {}
+    for lang in rare:
+        names = [f"{lang}\n{k}" for k in range(CALIBRATE_ONE_IN)]
+        for name in names:
+            rest = [folds[x] for x in names if x != name and x in folds]
+            if rest:
+                n = pd.concat(rest).groupby("code")["n"].sum()
+                models[name] = Model.fit(n.index.to_numpy(np.uint32), n.to_numpy())
+    return models
+
+
+def _calibrate(who: Identifier, judges: Identifier, judged: DataFrame) -> None:
     """Mean of the own language's cross-entropy, its spread by letter and between long texts, and the largest excess, over
-    the texts kept out of the counts."""
-    shared = kept_out.sparkSession.sparkContext.broadcast(who)
+    texts (lang, text, judge) that are kept out of the counts of their judge."""
+    shared = judged.sparkSession.sparkContext.broadcast(judges)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         model.prepare()
         for batch in batches:
-            batch = batch[batch["lang"].isin(model.langs)]
+            batch = batch[batch["judge"].isin(model.langs)]
             entropy, counts, letters = model.entropies(batch["text"].tolist())
-            own = entropy[np.arange(len(batch)), [model.langs.index(x) for x in batch["lang"]]] if len(batch) else np.zeros(0)
+            own = entropy[np.arange(len(batch)), [model.langs.index(x) for x in batch["judge"]]] if len(batch) else np.zeros(0)
             yield pd.DataFrame({"lang": batch["lang"].tolist(), "entropy": own, "n": counts})[letters]
 
-    seen = kept_out.select("lang", "text").mapInPandas(run, "lang string, entropy double, n long").toPandas()
-    for lang, g in seen.groupby("lang"):
-        if len(g) < 20:
+    seen = judged.mapInPandas(run, "lang string, entropy double, n long").toPandas()
+    means = {lang: float(np.average(g["entropy"], weights=g["n"])) for lang, g in seen.groupby("lang")}
+    seen["away"] = seen["entropy"] - seen["lang"].map(means)
+    texts = seen.groupby("lang")["n"].transform("size")
+    pooled = seen[texts > 1]
+    for lang, m in who.models.items():
+        own = seen[seen["lang"] == lang]
+        g = own if len(own) >= ENOUGH_TEXTS else pooled
+        if len(g) < ENOUGH_TEXTS:
             continue
-        m, away = who.models[lang], g["entropy"] - np.average(g["entropy"], weights=g["n"])
-        m.mean = float(np.average(g["entropy"], weights=g["n"]))
+        away = g["away"]
+        m.mean = means[lang] if len(own) else float(np.average(seen["entropy"], weights=seen["n"]))
         m.spread = float(max(1e-6, np.sqrt(np.mean(away**2 * g["n"]))))
         long = away[g["n"] >= LONG_TEXT]
         m.between = float(np.sqrt(np.mean(long**2))) if len(long) else 0.0

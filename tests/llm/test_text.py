@@ -202,6 +202,22 @@ def test_languages(spark):
     assert docs.where("rejected").count() <= 0.01 * docs.count()
 
 
+@pytest.mark.parametrize("n_rare", [3, 60])
+def test_a_rare_language_rejects_too(spark, n_rare):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text", "lang").orderBy("doc_id").collect()
+    rare = [r for r in docs if r["lang"] == "es"]
+    fit = [r for r in docs if r["lang"] in ("en", "fr", "de")] + rare[:n_rare]
+    who = langid.fit(spark.createDataFrame(fit, "doc_id long, text string, lang string"))
+    assert all(np.isfinite(m.most) for m in who.models.values())
+    rng = random.Random(14)
+    odd = lambda first, n: " ".join("".join(chr(first + rng.randrange(n)) for _ in range(rng.randint(2, 9))) for _ in range(80))
+    unseen = [(i, odd(0x430, 32)) for i in range(40)] + [(100 + i, odd(0x4E00, 3000)) for i in range(40)]
+    said = langid.identify(spark.createDataFrame(unseen, "doc_id long, text string"), who)
+    assert said.where("rejected").count() >= 76
+    own = langid.identify(spark.createDataFrame(rare[60:], "doc_id long, text string, lang string"), who)
+    assert own.where("rejected").count() <= 0.02 * len(rare[60:])
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, "the cat and the dog went to the house " * 3, "en") for i in range(30)] + [(100 + i, "le chat et le chien vont à la maison " * 3, "fr") for i in range(30)]
     who = langid.fit(spark.createDataFrame([*rows, (1000, None, "en"), (1001, "x", None)], "doc_id long, text string, lang string"))
