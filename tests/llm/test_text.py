@@ -125,13 +125,13 @@ def test_words_and_shingles():
 def _line_rule(docs, least):
     """The dropped lines by comparing all pairs."""
     lines = [((d, i), _words(x)) for d, t in docs if d is not None and t is not None for i, x in enumerate(t.split("\n"))]
-    lines = sorted((p, w) for p, w in lines if len(w) >= least)
+    lines = sorted((p, w) for p, w in lines if w)
     out = {}
     for k, (p, w) in enumerate(lines):
         earlier = [v for q, v in lines[:k] if q < p]
         if w in earlier:
             out[p] = False
-        elif any(_edit(w, v) for v in [x for x, y in _first(lines).values() if y < _first(lines)[tuple(w)][1]]):
+        elif len(w) >= least and any(_edit(w, v) for v in [x for x, y in _first(lines).values() if len(x) >= least and y < _first(lines)[tuple(w)][1]]):
             out[p] = True
     return out
 
@@ -179,13 +179,33 @@ def test_line_dedup_of_lines_of_any_length(spark):
 
     lines = ["}", "see  below", "See below", "see above", "", "", "one two three four five six seven", "one two three four five six seven eight", "one two three four five six seven nine", "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec", "\u4eca\u5929\u5929\u6c14\u4e0d\u597d\u6211\u4eec", "\u4f60\u597d", "\u60a8\u597d", "}"]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "}\n\u4f60\u597d\nnew\n"), (3, "}")], "doc_id long, text string")
-    got = {(r["doc_id"], r["line_no"]): r["near"] for r in linededup.dropped_lines(docs, every_line=True).collect()}
+    got = {(r["doc_id"], r["line_no"]): r["near"] for r in linededup.dropped_lines(docs).collect()}
     assert got == {(1, 2): False, (1, 8): True, (1, 10): True, (1, 13): False, (2, 0): False, (2, 1): False, (3, 0): False}
     full = docs.selectExpr("doc_id", "text", "'en' as lang", "'x' as source", "length(text) as n_chars")
     left = {r["doc_id"]: r["text"] for r in p.line_dedup(spark, full, SF).collect()}
     assert left == {1: "\n".join(x for i, x in enumerate(lines) if (1, i) not in got), 2: "new\n"}
 
 
+def test_line_dedup_of_short_lines_and_repeated_ids(spark, monkeypatch):
+    short = spark.createDataFrame([(1, "Share this page now"), (2, "Share this page now")], "doc_id long, text string")
+    assert [(r["doc_id"], r["line_no"], r["near"]) for r in linededup.dropped_lines(short).collect()] == [(2, 0, False)]
+    blank = spark.createDataFrame([(1, ""), (2, " \n\t")], "doc_id long, text string")
+    assert linededup.dropped_lines(blank).count() == 0 and linededup.dropped_lines(blank.where("1 = 0")).count() == 0
+    long = " ".join(f"w{i}" for i in range(9))
+    rows = [(1, f"only here\n{long}"), (1, f"{long} more"), (1, f"{long} more"), (2, "only here\nnew")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = dict(docs.selectExpr("text", "xxhash64(text)").collect())
+    first, second = sorted([rows[0], rows[1]], key=lambda r: parts[r[1]])
+    want = {(1, parts[second[1]], second[1].split("\n").index(next(x for x in second[1].split("\n") if x.startswith(long))), True), (2, parts[rows[3][1]], 0, False)}
+    monkeypatch.setattr(linededup, "OFTEN", 1)
+    for _ in range(2):  # with lines of two occurrences marked by broadcast, and by the join
+        got = linededup.dropped_lines(docs)
+        assert {tuple(r) for r in got.collect()} == want
+        left = sorted(r["text"] for r in linededup.without_lines(docs, got).collect())
+        assert left == sorted(["only here", f"{long} more", f"{long} more", "new"] if first is rows[1] else [rows[0][1], "new"])
+        monkeypatch.setattr(linededup, "OFTEN", 1000)
+
+
 def test_one_edit():
     rng = random.Random(9)
     for _ in range(500):
