@@ -25,7 +25,8 @@ CALIBRATE_ONE_IN = 5
 #: Languages with fewer texts to calibrate with are scored by cross-validation, and share the deviations of all languages
 #: if even so they have fewer. With fewer in all languages together nothing is rejected for its cross-entropy.
 ENOUGH_TEXTS = 20
-ORDER, LETTER_BITS = 4, 6
+ORDER, LETTER_BITS = 4, 16
+#: Class of letters that the fit has not seen; it sees at most one less.
 OTHER_LETTER = (1 << LETTER_BITS) - 1
 UNDETERMINED = "und"
 #: The posterior counts at most so many letters: further letters of one text are no independent evidence.
@@ -36,7 +37,8 @@ SLACK = 2.5
 LONG_TEXT = 1000
 #: Shorter texts say nothing about how high a cross-entropy may be.
 SHORT_TEXT = 20
-_MOST_MEMO = 1 << 20
+#: Rows of log probabilities that a task keeps, and bits of the table that finds them.
+_MOST_MEMO, _MEMO_BITS = 1 << 20, 21
 
 _letters: np.ndarray | None = None
 
@@ -71,20 +73,24 @@ def grams(texts: list[str | None], alphabet: np.ndarray) -> tuple[np.ndarray, np
     ids, of = ids[keep], of[keep]
     counts = np.bincount(of, minlength=len(texts))
     starts = np.cumsum(counts) - counts
-    padded = np.zeros(len(ids) + (ORDER - 1) * len(texts), np.uint32)
+    padded = np.zeros(len(ids) + (ORDER - 1) * len(texts), np.uint64)
     at = np.arange(len(ids)) + (ORDER - 1) * (of + 1)
     padded[at] = ids
-    codes = np.zeros(len(ids), np.uint32)
+    codes = np.zeros(len(ids), np.uint64)
     for back in range(ORDER):
-        codes |= padded[at - back] << np.uint32(LETTER_BITS * back)
+        codes |= padded[at - back] << np.uint64(LETTER_BITS * back)
     letters = np.bincount(of, weights=ids != 0, minlength=len(texts)) > 0
     return codes, np.diff(np.append(starts, len(ids))), letters
 
 
 @dataclass
 class Model:
-    """Sorted arrays for each order: keys of n-grams with their discounted share, keys of contexts with their back-off weight."""
+    """Sorted arrays for each order: keys of n-grams with their discounted share, keys of contexts with their back-off weight.
 
+    classes: how many letter classes there are, the boundary and OTHER_LETTER included; below order 1 all are alike.
+    """
+
+    classes: int
     shares: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     backoffs: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     mean: float = 0.0
@@ -94,22 +100,22 @@ class Model:
     ceiling: float = 0.0
 
     @staticmethod
-    def fit(codes: np.ndarray, counts: np.ndarray) -> Model:
+    def fit(codes: np.ndarray, counts: np.ndarray, classes: int) -> Model:
         """From the distinct codes of ORDER letters and their counts; lower orders use continuation counts."""
-        m, counts = Model(), counts.astype(np.float64)
+        m, counts = Model(classes), counts.astype(np.float64)
         for n in range(ORDER, 0, -1):
             order = np.argsort(codes)
             codes, counts = codes[order], counts[order]
             once, twice = (counts == 1).sum(), (counts == 2).sum()
             discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-            contexts = codes >> np.uint32(LETTER_BITS)
+            contexts = codes >> np.uint64(LETTER_BITS)
             names, at, kinds = np.unique(contexts, return_index=True, return_counts=True)
             totals = np.add.reduceat(counts, at) if len(counts) else np.zeros(0)
             share = (counts - discount) / np.repeat(totals, kinds)
             m.shares.insert(0, (codes, share))
             m.backoffs.insert(0, (names, discount * kinds / totals))
             if n > 1:  # the next lower order counts the different letters that stand before
-                codes, counts = np.unique(codes & np.uint32((1 << LETTER_BITS * (n - 1)) - 1), return_counts=True)
+                codes, counts = np.unique(codes & np.uint64((1 << LETTER_BITS * (n - 1)) - 1), return_counts=True)
                 counts = counts.astype(np.float64)
         return m
 
@@ -122,10 +128,10 @@ class Model:
         return np.where(names[at] == keys, values[at], default)
 
     def log_prob(self, codes: np.ndarray) -> np.ndarray:
-        p = np.full(len(codes), 1.0 / (1 << LETTER_BITS))
+        p = np.full(len(codes), 1.0 / self.classes)
         for n in range(1, ORDER + 1):
-            keys = codes & np.uint32((1 << LETTER_BITS * n) - 1)
-            p = self._get(self.shares[n - 1], keys, 0.0) + self._get(self.backoffs[n - 1], keys >> np.uint32(LETTER_BITS), 1.0) * p
+            keys = codes & np.uint64((1 << LETTER_BITS * n) - 1)
+            p = self._get(self.shares[n - 1], keys, 0.0) + self._get(self.backoffs[n - 1], keys >> np.uint64(LETTER_BITS), 1.0) * p
         return np.log(p)
 
 
@@ -138,23 +144,29 @@ class Identifier:
 
     def prepare(self) -> None:
         self.langs = sorted(self.models)
-        self.alphabet = np.where(letter_table(), np.uint8(OTHER_LETTER), np.uint8(0))
-        self.alphabet[np.array(self.letters, np.int64)] = np.arange(1, len(self.letters) + 1, dtype=np.uint8)
-        self.row_of = np.full(1 << (ORDER * LETTER_BITS), -1, np.int32)
+        self.alphabet = np.where(letter_table(), np.uint16(OTHER_LETTER), np.uint16(0))
+        self.alphabet[np.array(self.letters, np.int64)] = np.arange(1, len(self.letters) + 1, dtype=np.uint16)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names = np.zeros(1 << _MEMO_BITS, np.uint64)
+        self.row_of = np.full(1 << _MEMO_BITS, -1, np.int32)
         self.rows = np.zeros((0, len(self.langs)))
 
     def _rows(self, codes: np.ndarray) -> np.ndarray:
-        """Rows of log probabilities by language; each code is looked up in the sorted arrays once."""
-        at = self.row_of[codes]
-        if (at < 0).any():
-            if len(self.rows) > _MOST_MEMO:
-                self.row_of[:] = -1
-                self.rows = self.rows[:0]
-                at = self.row_of[codes]
-            new = np.unique(codes[at < 0])
-            self.row_of[new] = len(self.rows) + np.arange(len(new), dtype=np.int32)
-            self.rows = np.concatenate([self.rows, np.stack([self.models[lang].log_prob(new) for lang in self.langs], axis=1)])
-            at = self.row_of[codes]
+        """Rows of log probabilities by language; what was looked up in the sorted arrays lately is found by a hash of the code."""
+        with np.errstate(over="ignore"):
+            place = (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
+            at = np.where(self.names[place] == codes, self.row_of[place], -1)
+            if (at < 0).any():
+                if len(self.rows) > _MOST_MEMO:
+                    self._forget()
+                    at[:] = -1
+                new, whose = np.unique(codes[at < 0], return_inverse=True)
+                at[at < 0] = len(self.rows) + whose
+                place = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
+                self.names[place], self.row_of[place] = new, len(self.rows) + np.arange(len(new), dtype=np.int32)
+                self.rows = np.concatenate([self.rows, np.stack([self.models[lang].log_prob(new) for lang in self.langs], axis=1)])
         return at
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +208,8 @@ def _alphabet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         points, counts = np.unique(_points([t.lower() for t in batch["text"]]), return_counts=True)
         keep = letter_table()[points]
-        yield pd.DataFrame({"point": points[keep].astype(np.int64), "n": counts[keep].astype(np.int64)})
+        if keep.any():
+            yield pd.DataFrame({"point": points[keep].astype(np.int64), "n": counts[keep].astype(np.int64)})
 
 
 def _counted(letters: list[int]):
@@ -206,7 +219,8 @@ def _counted(letters: list[int]):
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
                 codes, counts = np.unique(grams(rows["text"].tolist(), who.alphabet)[0], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": counts.astype(np.int64)})
+                if len(codes):
+                    yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": counts.astype(np.int64)})
 
     return run
 
@@ -214,17 +228,19 @@ def _counted(letters: list[int]):
 def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG) -> Identifier | None:
     """Models from (doc_id, text, lang), at most docs_per_lang documents of each language; None without any text.
 
-    Rows with a null text or lang are left out. The driver gets the n-gram counts of this bounded sample alone.
+    Rows with a null text or lang are left out. The driver gets the n-gram counts of this bounded sample alone. The sample
+    goes by hashes of doc_id and text, so repeated and null ids are no burden. A language whose texts have no letters has no
+    model.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
         return None
-    key = F.shiftrightunsigned(uniform_key("doc_id", seed=5), 33).cast("double") / float(1 << 31)
+    key = F.shiftrightunsigned(uniform_key("doc_id", "text", seed=5), 33).cast("double") / float(1 << 31)
     share = F.lit(0.0)
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, min(1.0, 1.5 * docs_per_lang / n)).otherwise(share)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", F.xxhash64("text")))
     sample = cut(rows.withColumn("key", key).where(F.col("key") < share).withColumn("nth", nth).where(F.col("nth") <= docs_per_lang))
     counted = sample.where(F.col("nth") % CALIBRATE_ONE_IN != 0)
     if counted.isEmpty():
@@ -232,7 +248,7 @@ def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG) -> Identi
     top = counted.select("text").mapInPandas(_alphabet, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(OTHER_LETTER - 1)
     letters = [r["point"] for r in top.collect()]
     counts = counted.select("lang", "text").mapInPandas(_counted(letters), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    who = Identifier(letters, {lang: Model.fit(g["code"].to_numpy(np.uint32), g["n"].to_numpy()) for lang, g in counts.groupby("lang")})
+    who = Identifier(letters, {lang: Model.fit(g["code"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(), len(letters) + 2) for lang, g in counts.groupby("lang")})
     if not who.models:
         return None
     rare = [lang for lang, n in totals.items() if min(n, docs_per_lang) // CALIBRATE_ONE_IN < ENOUGH_TEXTS]
@@ -259,7 +275,7 @@ def _fold_models(sample: DataFrame, rare: list[str], letters: list[int]) -> dict
             rest = [folds[x] for x in names if x != name and x in folds]
             if rest:
                 n = pd.concat(rest).groupby("code")["n"].sum()
-                models[name] = Model.fit(n.index.to_numpy(np.uint32), n.to_numpy())
+                models[name] = Model.fit(n.index.to_numpy(np.int64).view(np.uint64), n.to_numpy(), len(letters) + 2)
     return models
 
 
@@ -273,9 +289,12 @@ def _calibrate(who: Identifier, judges: Identifier, judged: DataFrame) -> None:
         model.prepare()
         for batch in batches:
             batch = batch[batch["judge"].isin(model.langs)]
+            if not len(batch):
+                continue
             entropy, counts, letters = model.entropies(batch["text"].tolist())
-            own = entropy[np.arange(len(batch)), [model.langs.index(x) for x in batch["judge"]]] if len(batch) else np.zeros(0)
-            yield pd.DataFrame({"lang": batch["lang"].tolist(), "entropy": own, "n": counts})[letters]
+            own = entropy[np.arange(len(batch)), [model.langs.index(x) for x in batch["judge"]]]
+            if letters.any():
+                yield pd.DataFrame({"lang": batch["lang"].tolist(), "entropy": own, "n": counts})[letters]
 
     seen = judged.mapInPandas(run, "lang string, entropy double, n long").toPandas()
     means = {lang: float(np.average(g["entropy"], weights=g["n"])) for lang, g in seen.groupby("lang")}

@@ -250,13 +250,61 @@ def test_language_of_odd_texts(spark):
 
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(10)
-    codes, counts = np.unique(rng.integers(0, 1 << 24, 5000).astype(np.uint32), return_counts=True)
-    m = langid.Model.fit(codes, counts)
-    for context in [*(codes[:5] >> 6).tolist(), 1]:
-        every = (np.uint32(context) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
+    letters = rng.integers(0, 30, (5000, langid.ORDER)).astype(np.uint64)
+    codes, counts = np.unique((letters << (np.uint64(16) * np.arange(langid.ORDER, dtype=np.uint64))).sum(axis=1, dtype=np.uint64), return_counts=True)
+    m = langid.Model.fit(codes, counts, 31)
+    for context in [*(codes[:5] >> np.uint64(16)).tolist(), 1]:
+        every = (np.uint64(context) << np.uint64(16)) | np.array([*range(30), langid.OTHER_LETTER], np.uint64)
         assert np.exp(m.log_prob(every)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def _kneser_ney(grams, classes):
+    """Interpolated Kneser-Ney by its definition: grams maps tuples of ORDER letters to counts."""
+    counts = {langid.ORDER: dict(grams)}
+    for n in range(langid.ORDER - 1, 0, -1):
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+    def p(g):
+        if not g:
+            return 1 / classes
+        own = counts[len(g)]
+        once, twice = (sum(c == k for c in own.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        after = {k[-1]: c for k, c in own.items() if k[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        return max(0, after.get(g[-1], d) - d) / sum(after.values()) + d * len(after) / sum(after.values()) * p(g[1:])
+
+    return p
+
+
+def test_models_equal_the_definition():
+    text = "the cat and the dog saw \u4eca\u5929 that a theatre has the hat"
+    letters = sorted({c for c in text if c.isalpha()})
+    who = langid.Identifier([ord(c) for c in letters], {})
+    who.prepare()
+    codes, counts = np.unique(langid.grams([text], who.alphabet)[0], return_counts=True)
+    unpack = lambda code: tuple(int(code) >> 16 * k & 0xFFFF for k in range(langid.ORDER - 1, -1, -1))
+    plain = _kneser_ney({unpack(c): int(n) for c, n in zip(codes, counts, strict=True)}, len(letters) + 2)
+    m = langid.Model.fit(codes, counts, len(letters) + 2)
+    asked = langid.grams([text, "that thing \u4eca ends", "xyz"], who.alphabet)[0]
+    assert np.exp(m.log_prob(asked)) == pytest.approx([plain(unpack(c)) for c in asked], abs=1e-12)
+
+
+def test_texts_without_letters_and_equal_ids(spark):
+    rows = [(i, "12 34 !?", "xx") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs.repartition(1)) is None
+    words = [(None, f"the cat and dog number {chr(97 + i)} went to the house", "en") for i in range(20)] + [(7, f"le chien et le chat {chr(97 + i)} vont au jardin", "fr") for i in range(20)]
+    mixed = docs.repartition(1).union(spark.createDataFrame(words, docs.schema).repartition(1))
+    who = langid.fit(mixed, docs_per_lang=20)
+    assert who is not None and sorted(who.models) == ["en", "fr"]
+    got = {r["lang_pred"] for r in langid.identify(mixed.where("lang = 'fr'"), who).collect()}
+    assert got == {"fr"}
+
+
 def test_decontamination(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
