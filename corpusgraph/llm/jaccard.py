@@ -14,6 +14,7 @@ three quarters. Shingles are counted in slices of the hash space, as packed arra
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,6 +38,8 @@ BAND_GROWTH, SEGMENT_SHARE = 1.25, 0.7
 
 #: Of a block of documents that are compared at once; shingles of a matrix product.
 DOCS_PER_BLOCK, SHINGLES_PER_BLOCK, COLUMNS_AT_ONCE = 256, 1 << 18, 1 << 13
+#: Sizes of the sets of a block of a very frequent key differ by less than this factor.
+SIZE_STEP = 1.1
 
 _SHARED_DOC = 0xFFFF
 _DOCS_AT_ONCE = 60_000
@@ -148,12 +151,17 @@ def with_possible_partners(docs: DataFrame, n_shingles: int) -> DataFrame:
 
 
 def _whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sets of texts that are those of their class: with one doc_id there may be texts of other classes."""
     for batch in batches:
         texts = batch["text"].tolist()
         for a, b in portions(texts):
             sets, sizes = _sets(texts[a:b])
+            prints = np.stack(_prints(sets, sizes)).astype(np.int64)
+            own = (prints == batch.iloc[a:b][["f1", "f2"]].to_numpy().T).all(axis=0) & (sizes > 0)
             raw, ends = sets.astype("<u8").tobytes(), np.cumsum(sizes).tolist()
-            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b], "n": sizes, "elements": [raw[8 * (e - n) : 8 * e] for n, e in zip(sizes.tolist(), ends, strict=True)]})
+            elements = [raw[8 * (e - n) : 8 * e] for n, e, ok in zip(sizes.tolist(), ends, own.tolist(), strict=True) if ok]
+            if elements:
+                yield pd.DataFrame({"doc_id": batch["class"].iloc[a:b][own], "n": sizes[own], "elements": elements})
 
 
 @cache
@@ -268,21 +276,29 @@ def links(sets: DataFrame) -> DataFrame:
 def compared_in_tiles(postings: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) between different components of documents that share a key: as few as connect all that similar sets do.
 
-    postings: key, doc, component. Documents are gathered in blocks of bounded size, by the most frequent key they have; each
-    pair of blocks with a common key is a tile, in which all sets are compared at once by matrix products. So the rows that
-    move are the sets of a block, once for each tile, and no pairs of documents.
+    postings: key, doc, component. Documents are gathered in blocks of bounded size, by the most frequent key they have and,
+    where it has more than a block, by the size of their sets; each pair of blocks with a common key whose sizes are near
+    enough is a tile, in which all sets are compared at once by matrix products. So the rows that move are the sets of a
+    block, once for each tile, and no pairs of documents.
     """
     often = postings.groupBy("key").agg(F.count("*").alias("m"))
     leader = postings.join(often, "key").groupBy("doc", "component").agg(F.max_by("key", F.struct("m", "key")).alias("leader"))
-    leader = leader.join(sets.select(F.col("doc_id").alias("doc"), "n"), "doc")
-    total = leader.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / DOCS_PER_BLOCK), F.ceil(F.sum("n") / SHINGLES_PER_BLOCK)).alias("parts"))
-    block = F.xxhash64("leader", F.pmod(F.xxhash64("doc"), "parts"))
-    blocks = cut(leader.join(total, "leader").select("doc", "component", block.alias("block")))
+    leader = leader.join(sets.select(F.col("doc_id").alias("doc"), "n"), "doc").withColumn("step", F.floor(F.log(F.col("n")) / math.log(SIZE_STEP)))
+    parts = F.greatest(F.ceil(F.count("*") / DOCS_PER_BLOCK), F.ceil(F.sum("n") / SHINGLES_PER_BLOCK))
+    by_step = leader.groupBy("leader", "step").agg(parts.alias("parts"), F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    whole = by_step.groupBy("leader").agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
+    small = whole.where((F.col("docs") <= DOCS_PER_BLOCK) & (F.col("shingles") <= SHINGLES_PER_BLOCK)).select("leader", F.lit(True).alias("small"))
+    dealt = leader.join(by_step.select("leader", "step", "parts"), ["leader", "step"]).join(small, "leader", "left")
+    block = F.when(F.col("small"), F.xxhash64("leader")).otherwise(F.xxhash64("leader", "step", F.pmod(F.xxhash64("doc"), "parts")))
+    blocks = cut(dealt.select("doc", "component", "n", block.alias("block")))
+    ranges = blocks.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     has = postings.select("key", "doc").join(blocks.select("doc", "block"), "doc").select("key", "block").distinct()
     # of keys with the same blocks one is enough
     same = has.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("block").cast("decimal(38,0)")).alias("h")).groupBy("n", "h").agg(F.min("key").alias("key"))
-    has = cut(has.join(same.select("key"), "key", "left_semi"))
-    pairs = has.join(has.select("key", F.col("block").alias("other")), "key").where("block <= other").select("block", "other").distinct()
+    has = cut(has.join(same.select("key"), "key", "left_semi").join(ranges, "block"))
+    other = has.select("key", F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    near = (100 * F.least("high", "other_high") >= PERCENT * F.greatest("low", "other_low")) & (F.col("block") <= F.col("other"))
+    pairs = has.join(other, "key").where(near).select("block", "other").distinct()
     tiles = pairs.select(F.xxhash64("block", "other").alias("tile"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
     members = tiles.join(blocks, "block").join(sets.select(F.col("doc_id").alias("doc"), "elements"), "doc")
     return members.select("tile", "doc", "component", "elements").groupBy("tile").applyInPandas(_tile_links, "a long, b long")
@@ -332,19 +348,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set holds the distinct 5-word shingles, or the whole sequence
     if there are fewer words. A null or empty text has no shingles and is linked with nothing; so is a row without doc_id,
-    whose component_id is null. Rows that repeat a doc_id count as one document with all their links. Equal sets are one
-    class from the start. Other columns are left out; an empty table gives no rows.
+    whose component_id is null. Rows that repeat a doc_id, with one text or several, count as one document with all their
+    links. Equal sets are one class from the start. Other columns are left out; an empty table gives no rows.
     """
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_fingerprints, "doc_id long, n_shingles long, f1 long, f2 long"), "fingerprints")
     usable = rows.where("doc_id is not null and n_shingles > 0")
     classes = cut(usable.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("first")))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     partners = with_possible_partners(docs, total)
-    chosen = cut(classes.join(partners, ["f1", "n_shingles"], "left_semi").select(F.col("first").alias("doc_id"), "f1").distinct())
-    texts = only_with(docs.where(F.col("doc_id").isNotNull()), chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = texts.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(_whole_sets, "doc_id long, n long, elements binary")
-    sets = stored(sets.where("n > 0").dropDuplicates(["doc_id"]), "sets")
-    found = links(sets)
+    # a class has a number of its own, as one doc_id may be the first of several
+    chosen = stored(classes.join(partners, ["f1", "n_shingles"], "left_semi").select("first", "f1", "f2", F.monotonically_increasing_id().alias("class")), "classes")
+    texts = only_with(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen.withColumnRenamed("first", "doc_id"), "doc_id")
+    sets = texts.join(chosen, F.col("doc_id") == F.col("first")).select("text", "f1", "f2", "class").mapInPandas(_whole_sets, "doc_id long, n long, elements binary")
+    sets = stored(sets.dropDuplicates(["doc_id"]), "sets")
+    first = chosen.select("class", "first")
+    found = links(sets).join(first.select(F.col("class").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("class").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     copies = usable.join(classes, ["n_shingles", "f1", "f2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     # copies hang on their class: only where a class has rows of other documents do they join the graph
     class_of = components(found.unionByName(copies))

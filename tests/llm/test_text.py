@@ -68,6 +68,21 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(21)
+    texts = _near_copies(rng)[6:80]
+    ids = [rng.randrange(30) for _ in texts]
+    sets = [_set(t) for t in texts]
+    edges = [(ids[i], ids[j]) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = _components(30, edges)
+    got = jaccard.near_duplicates(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((i, len(s), want[i]) for i, s in zip(ids, sets, strict=True))
+    base = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    few = spark.createDataFrame([(1, base), (1, other), (2, base + " x"), (3, other + " y")], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.near_duplicates(few).collect()} == {1}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert jaccard.near_duplicates(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).where("n_shingles = 0 and component_id = doc_id").count() == 2
@@ -90,12 +105,18 @@ def test_similar_sets_share_a_key():
     assert missed == 0
 
 
-def test_tiles_connect_what_is_similar(spark):
+@pytest.mark.parametrize("most", [256, 4])
+def test_tiles_connect_what_is_similar(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "DOCS_PER_BLOCK", most)
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 2**63, 20).astype(np.uint64))]
     for _ in range(30):
         sets.append(np.unique(np.concatenate([rng.permutation(sets[rng.integers(len(sets))])[1:], rng.integers(0, 2**63, 1).astype(np.uint64)])))
     rows = spark.createDataFrame([(i, len(s), bytearray(s.astype("<u8").tobytes())) for i, s in enumerate(sets)], "doc_id long, n long, elements binary")
+    # of one key: a single block, and blocks of few documents by size
+    for _ in range(20):
+        sets.append(np.unique(np.concatenate([rng.permutation(sets[rng.integers(len(sets))])[2:], rng.integers(0, 2**63, 5).astype(np.uint64)])))
+    rows = spark.createDataFrame([(i, len(s), bytearray(s.astype("<u8").tobytes())) for i, s in enumerate(sets)], "doc_id long, n long, elements binary")
     postings = spark.createDataFrame([(1, i, i) for i in range(len(sets))], "key long, doc long, component long")
     similar = lambda a, b: 100 * (x := len(np.intersect1d(a, b))) >= 75 * (len(a) + len(b) - x)
     want = _components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])])
