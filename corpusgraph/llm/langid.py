@@ -38,7 +38,7 @@ LONG_TEXT = 1000
 #: Shorter texts say nothing about how high a cross-entropy may be.
 SHORT_TEXT = 20
 #: Rows of log probabilities that a task keeps, and bits of the table that finds them.
-_MOST_MEMO, _MEMO_BITS = 1 << 20, 21
+_MOST_MEMO, _MEMO_BITS = 1 << 17, 18
 
 _letters: np.ndarray | None = None
 
@@ -333,10 +333,10 @@ def identify(docs: DataFrame, who: Identifier | None) -> DataFrame:
         model.prepare()
         for texts in batches:
             parts, part, size = [], [], 0
-            for t in texts:  # some million letters at a time
+            for t in texts:  # some hundred thousand letters at a time
                 part.append(t)
                 size += len(t or "")
-                if size > 1 << 20:
+                if size > 1 << 18:
                     parts.append(model.predict(part))
                     part, size = [], 0
             if part or not parts:
