@@ -114,10 +114,10 @@ class TokenFile:
             return np.zeros(0, "<u4")
         first, last = a // self.block, -(-b // self.block)
         data = self.stream.read_at(int(self.offsets[last] - self.offsets[first]), int(self.offsets[first]))
-        if self.block * self.bits % 8:
+        if self.bits not in (8, 16, 32):  # block by block: unpacked bits take far more room than ids
             parts = [unpack(data[self.offsets[i] - self.offsets[first] : self.offsets[i + 1] - self.offsets[first]], self.bits, min(self.block, self.n_ids - i * self.block)) for i in range(first, last)]
             got = np.concatenate(parts)
-        else:  # whole bytes in each block: one go
+        else:
             got = unpack(data, self.bits, min(last * self.block, self.n_ids) - first * self.block)
         return got[a - first * self.block : b - first * self.block]
 

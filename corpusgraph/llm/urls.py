@@ -9,13 +9,13 @@ from corpusgraph.llm.common import blocks_of, cut, table, uniform_key
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Words in the host names whose pages make up the list of the registered query.
-LISTED_HOST_WORDS = ("spam", "pills", "casino")
+#: Words in the host names, of any top-level domain, whose pages make up the list of the registered query.
+LISTED_HOST_WORDS = ("bets", "casino", "pills", "spam")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_URL, BITS_SET = 16, 6
 #: Filters of up to so many 64-bit words go to every task as one value; beyond that they are joined by block.
-MAX_SHARED_WORDS = 1 << 22
+MAX_SHARED_WORDS = 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -112,7 +112,7 @@ with p as (
     array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' and not starts_with(x, 'utm_') and not starts_with(x, 'ref='))), '&') end as canonical
   from p
 ), listed as (
-  select distinct canonical from c where regexp_matches(host, 'spam|pills|casino') and contains(url, '://')
+  select distinct canonical from c where regexp_matches(host, 'bets|casino|pills|spam') and contains(url, '://')
 ), rules(verdict, h, p) as (
   values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
 ), best as (
