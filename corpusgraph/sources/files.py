@@ -23,6 +23,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in a new shared folder and read again: computed once, and safe from lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_names(files: DataFrame, base: str) -> DataFrame:
     """binaryFile rows as documents: document_id, title (path below base), filename, tags (its folders), content.
 
@@ -62,11 +69,15 @@ def write_corpus(tables: dict[str, DataFrame], path: str) -> None:
 
 def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables that are there."""
-    found = {}
-    for name in TABLES:
-        try:
-            found[name] = spark.read.parquet(f"{path}/{name}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    return found
+    found = {name: read_if_there(spark, f"{path}/{name}") for name in TABLES}
+    return {name: df for name, df in found.items() if df is not None}
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where nothing has been written; any other fault is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
