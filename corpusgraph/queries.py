@@ -61,11 +61,50 @@ def s2_write_read(spark, sf_dir):
     return docs.unionByName(back["chunks"].select(F.lit("chunk").alias("kind"), F.col("document_id").alias("a"), F.col("chunk_index").cast("string").alias("b"), F.col("content").alias("c")))
 
 
-@_query(_LINES)
+_NAME = "source || '_' || cast(doc_id - doc_id % 100 as varchar) || '.md'"
+_FILES = f"""
+select {_NAME} as name, '# ' || {_NAME} || chr(10) || 'See `' || source || '_0.md`' || chr(10) || string_agg('note ' || cast(doc_id as varchar), chr(10) order by doc_id) as content, source || '_0.md' as ref
+from documents where source is not null and doc_id is not null group by source, doc_id - doc_id % 100
+"""
+
+
+def _named_files(spark, sf_dir) -> str:
+    """Markdown files of a hundred notes of one source at most, each with a link to the first of its source."""
+    folder = files.new_folder(spark, "named")
+    notes = _view(spark, sf_dir, f"select source, doc_id, {_NAME.replace('varchar', 'string')} as name from documents where source is not null and doc_id is not null")
+    grouped = notes.groupBy("name", "source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    lines = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("note "), i.cast("string"))), "\n")
+    text_of = F.concat(F.lit("# "), F.col("name"), F.lit("\nSee `"), F.col("source"), F.lit("_0.md`\n"), lines)
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(at, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                with store.open_output_stream(f"{at}/{name}") as out:
+                    out.write(content.encode())
+            yield batch[["name"]]
+
+    grouped.select("name", text_of.alias("content")).mapInPandas(write, "name string").count()
+    return folder
+
+
+@_query(f"""
+with f as ({_FILES})
+select 'document' as kind, name as a, content as b from f union all select 'chunk', name, '[' || name || ']' || chr(10) || chr(10) || content from f
+union all select 'relation', f.name, t.name from f join f t on f.name <> t.name and lower(t.name) like '%' || lower(f.ref) || '%'
+""")
 def t1_ingest_stream(spark, sf_dir):
     out = files.new_folder(spark, "stream")
-    ingest_stream(spark, _written_files(spark, sf_dir, 4), out, embed.hashing_embedder(16), 16, f"{out}/checkpoint").awaitTermination()
-    return read_stored(spark, out, "chunks").select(F.explode(F.split("content", "\n")).alias("line"))
+    ingest_stream(spark, _named_files(spark, sf_dir), out, embed.hashing_embedder(16), 16, f"{out}/checkpoint").awaitTermination()
+    docs, chunks, found = (read_stored(spark, out, name) for name in ("documents", "chunks", "document_relations"))
+    named = docs.select(F.col("id").alias("document_id"), F.col("title").alias("a"))
+    pairs = found.where("relation_type = 'references'").join(named.withColumnRenamed("document_id", "source_id"), "source_id").join(named.select(F.col("document_id").alias("target_id"), F.col("a").alias("b")), "target_id")
+    rows = docs.select(F.lit("document").alias("kind"), F.col("title").alias("a"), F.col("content").alias("b"))
+    rows = rows.unionByName(chunks.join(named, "document_id").select(F.lit("chunk").alias("kind"), "a", F.col("content").alias("b")))
+    return rows.unionByName(pairs.select(F.lit("relation").alias("kind"), "a", "b"))
 
 
 # --- scalar functions and validation ----------------------------------------------------------------
@@ -298,9 +337,15 @@ def c9_chunk_components(spark, sf_dir):
     return _plain(chunking.chunk_components(extract.schematic_components(boards), extract.schematic_signals(boards), boards), "type", "group", "designators", "file")
 
 
-@_query(f"select id as document_id, (case doc_type when 'document' then 3 when 'schematic' then 3 else case when starts_with(id, 'h') then 1 else 3 end end)::bigint as chunks from ({fx.CORPUS}) c")
+_C10 = ", ".join(("document_id", "chunk_index", "content", "type", "token_count"))
+
+
+@_query(f"""
+select {_C10} from ({ORACLE_SQL["c1_chunk_sections"].replace(_NOTES_DEEP, fx.NOTES)}) a union all select {_C10} from ({ORACLE_SQL["c5_chunk_functions"]}) b union all select {_C10} from ({ORACLE_SQL["c9_chunk_components"]}) c
+union all select id, 0::int, trim(content, {_S}), 'block', {_TOKENS.format(c=f"trim(content, {_S})")} from ({fx.HEADERS}) d
+""")
 def c10_chunk_corpus(spark, sf_dir):
-    return chunking.chunk_corpus(_docs(spark, sf_dir, fx.CORPUS)).groupBy("document_id").agg(F.count("*").alias("chunks"))
+    return _plain(chunking.chunk_corpus(_docs(spark, sf_dir, fx.CORPUS)), "type")
 
 
 # --- extraction -------------------------------------------------------------------------------------
@@ -316,7 +361,11 @@ def x2_link_references(spark, sf_dir):
     return extract.link_references(_docs(spark, sf_dir, fx.NOTES))
 
 
-@_query(f"select id as document_id, unnest(['mod_' || (n % 200) || '.c']) as ref, 0::int as pos from ({fx.NOTES}) c")
+@_query(f"""
+with m as (select id, regexp_extract_all(content, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}/\\\\]+\\.[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{1,5}}') as x from ({fx.NOTES}) c), e as (select id, unnest(range(len(x))) as i, unnest(x) as ref from m),
+f as (select id, ref, min(i) as i from e where regexp_matches(ref, '\\.(c|h|py|java|sch|pdf)$') group by 1, 2)
+select id as document_id, (row_number() over (partition by id order by i) - 1)::int as pos, ref from f
+""")
 def x3_filename_mentions(spark, sf_dir):
     return extract.filename_mentions(_docs(spark, sf_dir, fx.NOTES))
 
@@ -376,28 +425,33 @@ def x10_attach_calls(spark, sf_dir):
 
 @_query(f"""
 select id as document_id, '# Schematic: ' || title || chr(10) || chr(10) || '## Components (2):' || chr(10) || '  R' || (n % 7 + 1) || ': 10K' || chr(10) || '  U' || n || ': STM32F' || n || chr(10) || chr(10) || '## Signals:' || chr(10) || 'GPIO_WRITE, SPI' || (n % 4) || '_MOSI' || chr(10) as content,
-  2::int as components_count, ['R' || (n % 7 + 1), 'U' || n] as components, ['GPIO_WRITE', 'SPI' || (n % 4) || '_MOSI'] as signals from ({fx.BOARDS}) b
+  2::int as components_count, 2::int as nets_count, ['R' || (n % 7 + 1), 'U' || n] as components, ['GPIO_WRITE', 'SPI' || (n % 4) || '_MOSI'] as signals from ({fx.BOARDS}) b
 """)
 def x11_schematic_summary(spark, sf_dir):
     boards = _docs(spark, sf_dir, fx.BOARDS)
-    return extract.schematic_summary(extract.schematic_components(boards), extract.schematic_signals(boards), boards).drop("nets_count")
+    return extract.schematic_summary(extract.schematic_components(boards), extract.schematic_signals(boards), boards)
 
 
 # --- embeddings -------------------------------------------------------------------------------------
 
 
-@_query()
+@_query("select doc_id as document_id, 0::int as chunk_index, [coalesce(length(text), 0)::double, coalesce(length(replace(text, ' ', '')), 0)::double] as embedding from documents")
 def e1_embed_chunks(spark, sf_dir):
+    def by_length(texts):
+        return [[float(len(t)), float(len(t.replace(" ", "")))] for t in texts]
+
     docs = _view(spark, sf_dir, "select doc_id as document_id, 0 as chunk_index, text as content from documents")
-    return embed.embed_chunks(docs, embed.hashing_embedder(64), 64).select("document_id", "chunk_index", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    return embed.embed_chunks(docs, by_length, 2).select("document_id", "chunk_index", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-@_query(f"select document_id, chunk_index, vec_null = false as had from (select document_id, chunk_index, chunk_index % 3 = 0 as vec_null from ({fx.CHUNKS}) c) t")
+@_query(f"select document_id, chunk_index, case when chunk_index % 3 = 0 then list_transform(range(64), lambda i: case when i = length(content) then 1 else 0 end::double) else list_transform(embedding, lambda x: round(x::double, 6)) end as embedding from ({fx.CHUNKS}) c")
 def e2_reembed(spark, sf_dir):
-    chunks = _view(spark, sf_dir, fx.CHUNKS).withColumn("old", F.col("embedding"))
-    holes = chunks.withColumn("embedding", F.when(F.col("chunk_index") % 3 != 0, F.col("embedding")))
-    done = embed.reembed(holes, embed.hashing_embedder(64), 64, only_missing=True)
-    return done.select("document_id", "chunk_index", (F.col("embedding") == F.col("old")).alias("had"))
+    def by_length(texts):
+        return [[float(i == len(t)) for i in range(64)] for t in texts]
+
+    holes = _view(spark, sf_dir, fx.CHUNKS).withColumn("embedding", F.when(F.col("chunk_index") % 3 != 0, F.col("embedding")))
+    done = embed.reembed(holes, by_length, 64, only_missing=True)
+    return done.select("document_id", "chunk_index", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
 _UNNESTED = f"select document_id, unnest(range(len(embedding)))::int as i, unnest(embedding)::double as x from ({fx.CHUNKS}) c"
@@ -443,6 +497,10 @@ select k.document_id as source_id, h.id as target_id, 'implements' as relation_t
 from k join h on h.keyword = k.keyword group by 1, 2 having count(distinct k.keyword) >= 2
 """)
 def j2_relations_by_keyword(spark, sf_dir):
+    return _j2(spark, sf_dir)
+
+
+def _j2(spark, sf_dir):
     boards = _docs(spark, sf_dir, fx.BOARDS)
     words = extract.match_keywords(extract.schematic_components(boards), extract.schematic_signals(boards))
     docs = _view(spark, sf_dir, f"select id, title, content, doc_type from ({fx.CODE}) a union all select id, title, content, doc_type from ({fx.BOARDS}) b")
@@ -467,14 +525,18 @@ def j3_relations_by_similarity(spark, sf_dir):
     return _j3(spark, sf_dir).drop("description")
 
 
-_STORED = f"select distinct source_id, target_id, relation_type from ({_J1}) s where (length(source_id) + length(target_id)) % 2 = 0"
+_ALL = f"""
+select source_id, target_id, relation_type, confidence from ({_J1}) a union all select source_id, target_id, relation_type, confidence from ({ORACLE_SQL["j2_relations_by_keyword"]}) b
+union all select source_id, target_id, relation_type, confidence from ({ORACLE_SQL["j3_relations_by_similarity"]}) c
+"""
 
 
-@_query(f"select source_id, target_id, relation_type, confidence from ({_J1}) a where not exists (select 1 from ({_STORED}) b where a.source_id = b.source_id and a.target_id = b.target_id and a.relation_type = b.relation_type)")
+@_query(f"select * from ({_ALL}) x where (length(source_id) + length(target_id)) % 2 = 1")
 def j4_discover_relations(spark, sf_dir):
-    found = _j1(spark, sf_dir)
-    stored = found.where((F.length("source_id") + F.length("target_id")) % 2 == 0)
-    return relations.discover_relations([found, found.withColumn("confidence", F.lit(0.5))], stored).drop("description")
+    by_reference, *others = (files.stored(rule(spark, sf_dir), "found") for rule in (_j1, _j2, _j3))
+    found = [by_reference, by_reference.withColumn("confidence", F.lit(0.5)), *others]
+    known = [df.where((F.length("source_id") + F.length("target_id")) % 2 == 0).select("source_id", "target_id", "relation_type") for df in (by_reference, *others)]
+    return relations.discover_relations(found, known[0].unionByName(known[1]).unionByName(known[2])).drop("description")
 
 
 @_query(f"""
@@ -491,10 +553,10 @@ def j5_add_relations(spark, sf_dir):
 # --- search -----------------------------------------------------------------------------------------
 
 _Q_DOCS = f"select 'v' || cast(doc_id as string) as id, 'note_' || cast(doc_id as string) || '.md' as title, text as content, case doc_id % 2 when 0 then 'document' else 'note' end as doc_type from documents"
-_Q_CHUNKS = "select 'v' || cast(label * 5 + vec_id % 5 as string) as document_id, cast(vec_id as int) as chunk_index, 'chunk ' || cast(vec_id as string) as content, case when vec_id % 17 <> 0 then embedding end as embedding from embeddings"
+_Q_CHUNKS = "select 'v' || cast(label * 5 + vec_id % 5 as string) as document_id, cast(vec_id as int) as chunk_index, 'chunk ' || cast(vec_id as string) as content, embedding from embeddings"
 _Q_QUERIES = "select item_id as query_id, split_part(text, ' ', 1) || ', ' || split_part(text, ' ', 2) || '!' as query from benchmark"
 _Q1 = f"""
-qv as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 17 = 3), c as (select document_id, chunk_index, content, embedding::double[] as e from ({_Q_CHUNKS}) x where document_id in (select id from ({_Q_DOCS}) d)),
+qv as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0), c as (select document_id, chunk_index, content, embedding::double[] as e from ({_Q_CHUNKS}) x where document_id in (select id from ({_Q_DOCS}) d)),
 dd as (select query_id, document_id, chunk_index, content, case when e is not null then 1 - list_inner_product(q, e) / sqrt(list_inner_product(q, q)) / sqrt(list_inner_product(e, e)) end as distance from qv, c),
 v as (select *, row_number() over (partition by query_id order by distance nulls last, document_id, chunk_index) as rank from dd)
 """
@@ -509,7 +571,7 @@ t as (select *, row_number() over (partition by query_id order by round(score, 9
 
 
 def _q_queries(spark, sf_dir):
-    vectors = _view(spark, sf_dir, "select vec_id as query_id, embedding from embeddings where vec_id % 17 = 3")
+    vectors = _view(spark, sf_dir, "select vec_id as query_id, embedding from embeddings where vec_id % 20 = 0")
     words = _view(spark, sf_dir, _Q_QUERIES)
     return vectors, words, vectors.join(words, "query_id", "full")
 
