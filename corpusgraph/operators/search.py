@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusgraph.operators.nearest import nearest
+from corpusgraph.sources.files import stored
 
 SNIPPET_CHARS = 1000
 
@@ -49,15 +50,20 @@ def fulltext_search(docs: DataFrame, queries: DataFrame, k: int, doc_type: str |
 
     docs: id, title, content, doc_type; queries: query_id, query. Score: the mean over the query's different tokens of
     1 + 1/4 + ... + 1/n^2 for n occurrences; ties by id. A query without tokens finds nothing. Only tokens of queries leave
-    the scan of the texts.
+    the scan of the texts; a query is paired with the documents of its rarest token alone, and then looks for its others in
+    them.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), tokenizer))).alias("token"))
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
     own = _wanted(docs, doc_type, document_tags, tags).select(F.col("id").alias("document_id"), F.explode(tokens(text, tokenizer)).alias("token"))
-    counts = own.join(asked.select("token").distinct(), "token", "left_semi").groupBy("document_id", "token").agg(F.count("*").alias("tf"))
+    counts = stored(own.join(asked.select("token").distinct(), "token", "left_semi").groupBy("document_id", "token").agg(F.count("*").alias("tf")), "postings")
+    often = counts.groupBy("token").agg(F.count("*").alias("n"))
+    # a token that no document has makes its query find nothing
+    rarest = asked.join(often, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
+    pairs = counts.select("document_id", "token").join(rarest, "token").select("query_id", "document_id")
     weight = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j))
-    scored = counts.withColumn("w", weight).join(asked, "token").groupBy("query_id", "document_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    scored = pairs.join(asked, "query_id").join(counts, ["document_id", "token"]).groupBy("query_id", "document_id").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
     hits = scored.join(need, "query_id").where("n = need").select("query_id", "document_id", (F.col("w") / F.col("need")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "document_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "document_id", "score")
