@@ -142,7 +142,7 @@ def shingles(words: np.ndarray, counts: np.ndarray, n: int = 5) -> tuple[np.ndar
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes
 
 
-def portions(texts: list[str | None], most: int = 1 << 20):
+def portions(texts: list[str | None], most: int = 1 << 19):
     """(first, last) of runs of texts with some `most` characters together, so that arrays over them stay small."""
     first = size = 0
     for i, t in enumerate(texts):

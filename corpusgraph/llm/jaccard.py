@@ -41,6 +41,8 @@ DOCS_PER_BLOCK, SHINGLES_PER_BLOCK, COLUMNS_AT_ONCE = 256, 1 << 18, 1 << 13
 #: Sizes of the sets of a block of a very frequent key differ by less than this factor.
 SIZE_STEP = 1.1
 
+#: Characters of the texts whose shingles are dealt together: each slice gets one packed array of them.
+PORTION_CHARS = 1 << 20
 _SHARED_DOC = 0xFFFF
 _DOCS_AT_ONCE = 60_000
 
@@ -82,7 +84,7 @@ def _dealt(n_slices: int):
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = batch["text"].tolist()
-            for a, b in portions(texts):
+            for a, b in portions(texts, PORTION_CHARS):
                 for c in range(a, b, _DOCS_AT_ONCE):
                     sets, sizes = _sets(texts[c : min(b, c + _DOCS_AT_ONCE)])
                     f1, _ = _prints(sets, sizes)
