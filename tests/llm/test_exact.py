@@ -333,6 +333,22 @@ def test_trees_learn_a_rule():
     assert all((m.score(x) > 0.5) == (p > 50) for x, _, p in rows)
 
 
+def test_sharding_query_tells_sizes_and_sums(spark):
+    from corpusgraph.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op4_sharding"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    assert all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]])) for r in got)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert set(slots) == set(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
 def test_schema_of_contract(spark):
     from corpusgraph.llm.queries import QUERIES
 
