@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from corpusgraph.llm import decontam, jaccard, langid, linededup, packing, pii, sharding, tokenfile, topk, urls
+from corpusgraph.llm import decontam, jaccard, langid, linededup, merkle, packing, pii, sharding, tokenfile, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_files": tokenfile.op8_token_files,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op7_url_filter": urls.OP7_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }

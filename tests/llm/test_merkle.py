@@ -1,0 +1,97 @@
+"""The Merkle manifest against a plain recursion."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusgraph.llm import merkle
+
+
+def sha(s: str) -> str:
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def record(*values) -> str:
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def tree(nodes: list[str], fanout: int) -> tuple[str, list[list[list[str]]]]:
+    """The root, and for each leaf its siblings by level."""
+    paths, at, row = [[] for _ in nodes], list(range(len(nodes))), nodes
+    while len(row) > 1:
+        runs = [row[i : i + fanout] for i in range(0, len(row), fanout)]
+        for leaf, i in enumerate(at):
+            run = runs[i // fanout]
+            paths[leaf].append((i % fanout, run[: i % fanout] + run[i % fanout + 1 :]))
+            at[leaf] = i // fanout
+        row = [sha("".join(r)) for r in runs]
+    return row[0], paths
+
+
+def expected(rows, fanout: int):
+    """rows: (group, id, leaf). Sorted (group, id, leaf, subroot, path), and the root."""
+    groups = defaultdict(list)
+    for g, i, leaf in rows:
+        groups[g].append((i is not None, i or 0, leaf))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: tree([x[2] for x in sorted(groups[g])], fanout) for g in names}
+    root, above = tree([trees[g][0] for g in names], fanout)
+    out = []
+    for g, up in zip(names, above, strict=True):
+        for (known, i, leaf), path in zip(sorted(groups[g]), trees[g][1], strict=True):
+            out.append((g, i if known else None, leaf, trees[g][0], path + up))
+    return sorted(out, key=repr), root
+
+
+@pytest.mark.parametrize(("fanout", "levels", "n"), [(2, 2, 90), (3, 1, 40), (8, 3, 1200)])
+def test_manifest(spark, fanout, levels, n):
+    rng = random.Random(fanout)
+    rows = [(rng.choice(["en", "en", "en", "fr", None, "", "é", "Z"]), rng.choice([None, *range(n)]), record(rng.randrange(3))) for _ in range(n)]
+    rows += [("one", 1, record(1)), ("pow", 7, record(2))] + [("full", i, record(i)) for i in range(fanout**levels)] + [("twice", 5, record(5))] * 3
+    df = spark.createDataFrame(rows, "group string, id long, leaf string").withColumns({"part": F.lit("clash"), "level": F.lit(1)}).repartition(5)
+    df = df.withColumnRenamed("part", "source")
+    leaves, root = merkle.manifest(df, fanout, levels)
+    want, top = expected(rows, fanout)
+    got = [(r["group"], r["id"], r["leaf"], r["subroot"], [(p["place"], p["others"]) for p in r["proof"]]) for r in leaves.collect()]
+    assert sorted(got, key=repr) == want
+    assert [r["root"] for r in root.collect()] == [top]
+    bad = leaves.select(merkle.folded(F.col("leaf"), F.col("proof")).alias("r"), merkle.folded(F.lit(sha("x")), F.col("proof")).alias("b"))
+    assert bad.where((F.col("r") != top) | (F.col("b") == top)).count() == 0
+
+
+def test_one_row_and_none(spark):
+    one = spark.createDataFrame([(None, None, record("a"))], "group string, id long, leaf string")
+    leaves, root = merkle.manifest(one)
+    r = leaves.first()
+    assert (r["group"], r["id"], r["subroot"], r["proof"]) == (None, None, r["leaf"], []) and root.first()["root"] == r["leaf"]
+    leaves, root = merkle.manifest(one.where("1 = 0"))
+    assert leaves.count() == root.count() == 0
+
+
+def test_query(spark, tmp_path):
+    """Nulls in every column, tampered rows, repeated rows, long and empty texts."""
+    texts = ["Some Text", "no capitals", "", None, "ÄÖ É Upper", "X" * 100_000]
+    rows = [(i if i else None, texts[i % 6], [None, "en", "fr"][i % 3], None if i % 5 == 0 else f"s{i}", i if i % 4 else None) for i in range(50)] + [(7, texts[1], "fr", "s7", 7)] * 2
+    folder = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").withColumn("leaf", F.lit("clash")).write.parquet(folder)
+    got = merkle.op12_merkle_manifest(spark, str(tmp_path)).collect()
+    leaf = lambda r, t: record(r[0], r[3], r[2], r[4], t)
+    want, root = expected([(r[2], r[0], leaf(r, r[1])) for r in rows], 8)
+    ascii_lower = {c: c + 32 for c in range(65, 91)}
+    claimed = {leaf(r, r[1]): leaf(r, r[1].translate(ascii_lower) if r[1] is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 else r[1]) for r in rows}
+
+    def fold(node, path):
+        for place, others in path:
+            node = sha("".join(others[:place] + [node] + others[place:]))
+        return node
+
+    lines = [(i, x, sub, root, sha("".join(s for _, o in path for s in o)), fold(claimed[x], path)) for _, i, x, sub, path in want]
+    assert sorted(map(repr, [(*x, x[5] == root) for x in lines])) == sorted(repr((r["doc_id"], r["leaf"], r["subroot"], r["root"], r["proof_sha256"], r["folded_root"], r["verified"])) for r in got)
+    assert 0 < sum(r["verified"] for r in got) < len(got)
+    empty = tmp_path / "none"
+    spark.read.parquet(folder).where("1 = 0").write.parquet(f"{empty}/documents.parquet")
+    assert merkle.op12_merkle_manifest(spark, str(empty)).count() == 0
