@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from corpusgraph.llm import decontam, jaccard, langid, linededup, merkle, packing, pii, sharding, tokenfile, topk, urls
+from corpusgraph.llm import bestfit, decontam, hardneg, jaccard, langid, linededup, merkle, packing, pii, sharding, tokenfile, topk, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -13,7 +13,9 @@ QUERIES = {
     "op8_token_files": tokenfile.op8_token_files,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_best_fit_packing": bestfit.op11_best_fit_packing,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_hard_negatives": hardneg.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op7_url_filter": urls.OP7_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_hard_negatives": hardneg.OP13_SQL,
 }

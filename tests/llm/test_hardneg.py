@@ -1,0 +1,86 @@
+"""Hard negatives against all pairs; the bounds and the rounds of visits."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusgraph.llm import hardneg
+
+
+def brute(rows, step: int, n_positives: int = 5, n_negatives: int = 10):
+    """rows: (id, label, vector of ints)."""
+    out = []
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    for at, (i, label, q) in enumerate(rows):
+        if i % step:
+            continue
+        others = [(-dot(q, v), j, m) for k, (j, m, v) in enumerate(rows) if k != at]
+        for s, j, _ in sorted((x for x in others if x[2] == label), key=lambda x: x[:2])[:n_positives]:
+            fits = sorted(x[:2] for x in others if x[2] != label and 30 * -s <= 100 * -x[0] <= 90 * -s)
+            out += [(i, j, r + 1, n, -s, -t) for r, (t, n) in enumerate(fits[:n_negatives])]
+    return sorted(out)
+
+
+def clustered(rng, n: int, dim: int, centers: int) -> np.ndarray:
+    c = rng.standard_normal((centers, dim)) * 3
+    return c[rng.integers(0, centers, n)] + rng.standard_normal((n, dim)) * 0.3
+
+
+@pytest.mark.parametrize(("n", "dim", "per_centroid", "visits"), [(400, 6, 20, (1, 3)), (300, 3, 1000, (4,)), (350, 8, 15, ())])
+def test_all_pairs(spark, n, dim, per_centroid, visits):
+    """Clustered vectors, a third of them one vector, ties, repeated ids, vectors of other lengths, bad ones."""
+    rng = np.random.default_rng(n)
+    x = clustered(rng, n, dim, 9)
+    x[::3] = x[0]
+    rows = [(int(i), int(rng.integers(0, 4)), [float(y) for y in v]) for i, v in enumerate(x)]
+    rows += [(10, 1, rows[1][2]), (20, 2, rows[2][2][:2]), (30, 2, []), (40, 3, [0.0] * dim), (50, 1, [-y for y in rows[0][2]])]
+    bad = [(60, None, rows[0][2]), (70, 1, None), (80, 1, [None] * dim), (90, 1, [float("nan")] * dim), (100, 1, [float("inf")] * dim), (None, 1, rows[0][2])]
+    df = spark.createDataFrame([(*r, "clash") for r in rows + bad], "vec_id long, label int, embedding array<double>, cluster string").repartition(5)
+    got = hardneg.hard_negatives(hardneg.vector_rows(df, "vec_id", "label", "embedding", 16), F.col("id") % 10 == 0, per_centroid=per_centroid, per_block=40, visits=visits)
+    assert sorted(map(tuple, got.collect())) == brute([(i, m, [int(np.floor(16 * y)) for y in v]) for i, m, v in rows], 10)
+
+
+def test_large_numbers(spark):
+    """Products beyond the exact range of doubles."""
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, [float(y) for y in rng.integers(-(2**26), 2**26, 4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = hardneg.hard_negatives(hardneg.vector_rows(df, "vec_id", "label", "embedding", 1), F.col("id") % 10 == 0, per_centroid=10)
+    assert sorted(map(tuple, got.collect())) == brute([(i, m, [int(y) for y in v]) for i, m, v in rows], 10)
+
+
+def test_none_and_few(spark):
+    df = spark.createDataFrame([(0, 1, [1.0]), (1, 1, [2.0])], "vec_id long, label int, embedding array<double>")
+    for some in (df, df.where("1 = 0"), df.where("vec_id = 1"), df.where("vec_id = 0")):
+        assert hardneg.hard_negatives(hardneg.vector_rows(some, "vec_id", "label", "embedding"), F.col("id") % 100 == 0).count() == 0
+
+
+def test_bounds_leave_lists_out():
+    """Every list with a row in the window and not below the k-th score is visited, and most others are not."""
+    rng = np.random.default_rng(7)
+    x = np.floor(16 * clustered(rng, 3000, 16, 30))
+    centers = np.stack([x[i] for i in range(30)])
+    near = ((x[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+    radii = np.array([np.linalg.norm(x[near == c] - centers[c], axis=1).max(initial=-1) for c in range(30)])
+    q, owner = x[:40], np.arange(40)
+    scores = q @ x.T
+    low, high = np.full(40, -(2**63)), np.full(40, 2**63 - 1)
+    kth = np.sort(scores, axis=1)[:, -10].astype(np.int64)
+    need = hardneg.wanted(q, owner, low, high, kth, centers, radii, 0, 30)
+    for i in range(40):
+        assert set(near[scores[i] >= kth[i]]) <= set(np.flatnonzero(need[i]))
+    assert need.mean() < 0.5
+    rounds = [hardneg.wanted(q, owner, low, high, kth, centers, radii, a, b) for a, b in ((0, 4), (4, 9), (9, 30))]
+    assert (sum(r.astype(int) for r in rounds) == need).all()
+    narrow = hardneg.wanted(q, owner, (kth * 3) // 10, (kth * 9) // 10, low, centers, radii, 0, 30)
+    for i in range(40):
+        inside = (scores[i] >= (kth[i] * 3) // 10) & (scores[i] <= (kth[i] * 9) // 10)
+        assert set(near[inside]) <= set(np.flatnonzero(narrow[i]))
+
+
+def test_query(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 10)), [float(y) for y in v]) for i, v in enumerate(clustered(rng, 500, 5, 6).astype(np.float32))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = hardneg.op13_hard_negatives(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == brute([(i, (m + 1) % 10 if i % 7 == 0 else m, [int(np.floor(256 * y)) for y in v]) for i, m, v in rows], 100)
