@@ -16,6 +16,15 @@ from corpusgraph.operators import codetext
 INCLUDE = r'(?U)#include\s*[<"]([^>"]+)[>"]'
 JAVA_IMPORT = r"(?Udm)^import\s+([\w.]+);"
 PYTHON_IMPORT = r"(?Udm)^(?:from\s+([\w.]+)\s+)?import\s+([\w.,\s]+)"
+#: Markdown links, file names between backticks and in plain text, and the kinds that count in plain text.
+LINK = r"\[([^\]]+)\]\(([^)]+)\)"
+QUOTED_FILE = r"(?U)`([^`]+\.\w{1,5})`"
+MENTION = r"(?U)[\w/\\]+\.\w{1,5}"
+MENTIONED_KINDS = r"\.(?:c|h|py|java|sch|pdf)$"
+#: Labels of KiCad files, net names of others.
+LABEL = r'(?U)\(label\s+"([^"]+)"'
+GLOBAL_LABEL = r'(?U)\(global_label\s+"([^"]+)"'
+NET = r"(?iU)(?:NetName|Net)=(\w+)"
 #: Names of buses, and of chip families whose drivers are named after them.
 BUS_SIGNAL = r"(?U)\b(SPI\d?_\w+|I2C\d?_\w+|UART\d?_\w+|GPIO_\w+|ADC\d?_\w+|TIM\d+_\w+)\b"
 CHIP = r"(?i)^(?:STM32|ESP32|ATmega|PIC|nRF|MAX|LM|TI|AD[0-9])"
@@ -30,22 +39,33 @@ def _exploded(docs: DataFrame, refs: Column) -> DataFrame:
     return docs.select("document_id", F.posexplode(F.filter(refs, lambda r: r != "")).alias("pos", "ref"))
 
 
+def _filled(refs: Column) -> Column:
+    return F.filter(refs, lambda r: r != "")
+
+
+def code_targets(text: Column, language: Column) -> Column:
+    """Include and import targets in order; null for other languages."""
+    return _filled(F.when(language.isin("c", "cpp"), _all(text, INCLUDE)).when(language == "java", _all(text, JAVA_IMPORT)).when(language == "python", _all(text, PYTHON_IMPORT)))
+
+
+def link_targets(text: Column) -> Column:
+    """Targets of Markdown links, then file names between backticks."""
+    return _filled(F.concat(_all(text, LINK, 2), _all(text, QUOTED_FILE)))
+
+
 def code_references(docs: DataFrame) -> DataFrame:
     """(document_id, pos, ref): include and import targets in order. docs: document_id, content, language."""
-    text, language = F.col("content"), F.col("language")
-    refs = F.when(language.isin("c", "cpp"), _all(text, INCLUDE)).when(language == "java", _all(text, JAVA_IMPORT)).when(language == "python", _all(text, PYTHON_IMPORT))
-    return _exploded(docs, refs)
+    return _exploded(docs, code_targets(F.col("content"), F.col("language")))
 
 
 def link_references(docs: DataFrame) -> DataFrame:
     """(document_id, pos, ref): targets of Markdown links, then file names between backticks."""
-    text = F.col("content")
-    return _exploded(docs, F.concat(_all(text, r"\[([^\]]+)\]\(([^)]+)\)", 2), _all(text, r"(?U)`([^`]+\.\w{1,5})`")))
+    return _exploded(docs, link_targets(F.col("content")))
 
 
 def filename_mentions(docs: DataFrame) -> DataFrame:
     """(document_id, pos, ref): different file names of known kinds in plain text, in order of their first mention."""
-    found = F.filter(_all(F.col("content"), r"(?U)[\w/\\]+\.\w{1,5}", 0), lambda r: r.rlike(r"\.(?:c|h|py|java|sch|pdf)$"))
+    found = F.filter(_all(F.col("content"), MENTION, 0), lambda r: r.rlike(MENTIONED_KINDS))
     return _exploded(docs, F.array_distinct(found))
 
 
@@ -74,12 +94,16 @@ def schematic_components(docs: DataFrame) -> DataFrame:
     return _rows(docs, ["filename", "content"], "pos int, designator string, value string, lib string", make)
 
 
+def signal_names(text: Column, kicad: Column) -> Column:
+    """Sorted different labels of KiCad files, net and bus names of other schematics."""
+    labels = F.concat(_all(text, LABEL), _all(text, GLOBAL_LABEL))
+    nets = F.concat(_all(text, NET), _all(text, BUS_SIGNAL))
+    return F.array_sort(F.array_distinct(F.when(kicad, labels).otherwise(nets)))
+
+
 def schematic_signals(docs: DataFrame) -> DataFrame:
     """(document_id, signal), each once: labels of KiCad files, net and bus names of other schematics."""
-    text, kicad = F.col("content"), extension(F.col("filename")) == "kicad_sch"
-    labels = F.concat(_all(text, r'(?U)\(label\s+"([^"]+)"'), _all(text, r'(?U)\(global_label\s+"([^"]+)"'))
-    nets = F.concat(_all(text, r"(?iU)(?:NetName|Net)=(\w+)"), _all(text, BUS_SIGNAL))
-    return docs.select("document_id", F.explode(F.array_sort(F.array_distinct(F.when(kicad, labels).otherwise(nets)))).alias("signal"))
+    return docs.select("document_id", F.explode(signal_names(F.col("content"), extension(F.col("filename")) == "kicad_sch")).alias("signal"))
 
 
 def schematic_references(components: DataFrame, signals: DataFrame) -> DataFrame:
@@ -131,19 +155,23 @@ def calls_of(edges: DataFrame, function: str) -> DataFrame:
     return own.groupBy("document_id").agg(F.min_by("calls", "pos").alias("calls"))
 
 
-def schematic_summary(components: DataFrame, signals: DataFrame, files: DataFrame) -> DataFrame:
-    """(document_id, content, components_count, nets_count, components, signals) of every file: a searchable summary.
+def summary_text(filename: Column, components: Column, signals: Column) -> Column:
+    """A searchable summary of a schematic: components (designator, value, lib), sorted signals.
 
     KiCad files list the library of each component and the number of nets.
     """
+    kicad = extension(filename) == "kicad_sch"
+    plain = F.array_join(F.transform(components, lambda c: F.concat(F.lit("  "), c["designator"], F.lit(": "), c["value"])), "\n")
+    with_lib = F.array_join(F.transform(components, lambda c: F.concat(F.lit("  "), c["designator"], F.lit(": "), c["value"], F.lit(" ("), c["lib"], F.lit(")"))), "\n")
+    nets = F.when(kicad, F.concat(F.lit("## Nets/Signals ("), F.size(signals).cast("string"), F.lit("):\n"))).otherwise(F.lit("## Signals:\n"))
+    return F.concat(F.lit("# Schematic: "), filename, F.lit("\n\n## Components ("), F.size(components).cast("string"), F.lit("):\n"), F.when(kicad, with_lib).otherwise(plain), F.lit("\n\n"), nets, F.array_join(signals, ", "), F.lit("\n"))
+
+
+def schematic_summary(components: DataFrame, signals: DataFrame, files: DataFrame) -> DataFrame:
+    """(document_id, content, components_count, nets_count, components, signals) of every file: its summary."""
     item = F.struct("pos", "designator", "value", "lib")
     cs = components.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("cs"))
     ns = signals.groupBy("document_id").agg(F.array_sort(F.collect_set("signal")).alias("ns"))
     rows = files.select("document_id", "filename").join(cs, "document_id", "left").join(ns, "document_id", "left")
     rows = rows.select("document_id", "filename", F.coalesce("cs", F.array().cast("array<struct<pos:int,designator:string,value:string,lib:string>>")).alias("cs"), F.coalesce("ns", F.array().cast("array<string>")).alias("ns"))
-    kicad = extension(F.col("filename")) == "kicad_sch"
-    plain = F.array_join(F.transform("cs", lambda c: F.concat(F.lit("  "), c["designator"], F.lit(": "), c["value"])), "\n")
-    with_lib = F.array_join(F.transform("cs", lambda c: F.concat(F.lit("  "), c["designator"], F.lit(": "), c["value"], F.lit(" ("), c["lib"], F.lit(")"))), "\n")
-    nets = F.when(kicad, F.concat(F.lit("## Nets/Signals ("), F.size("ns").cast("string"), F.lit("):\n"))).otherwise(F.lit("## Signals:\n"))
-    content = F.concat(F.lit("# Schematic: "), F.col("filename"), F.lit("\n\n## Components ("), F.size("cs").cast("string"), F.lit("):\n"), F.when(kicad, with_lib).otherwise(plain), F.lit("\n\n"), nets, F.array_join("ns", ", "), F.lit("\n"))
-    return rows.select("document_id", content.alias("content"), F.size("cs").alias("components_count"), F.size("ns").alias("nets_count"), F.transform("cs", lambda c: c["designator"]).alias("components"), F.col("ns").alias("signals"))
+    return rows.select("document_id", summary_text(F.col("filename"), F.col("cs"), F.col("ns")).alias("content"), F.size("cs").alias("components_count"), F.size("ns").alias("nets_count"), F.transform("cs", lambda c: c["designator"]).alias("components"), F.col("ns").alias("signals"))

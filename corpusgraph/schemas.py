@@ -20,6 +20,8 @@ PARSER_OF = {
     "paragraphs": ("docx", "doc"),
     "schematic": ("sch", "schdoc", "kicad_sch", "brd", "pcbdoc"),
 }
+#: Schematics whose parts and signals are read; the other kinds are boards.
+DRAWN = ("sch", "schdoc", "kicad_sch")
 #: Extensions that a directory scan takes.
 SCANNED = tuple(e for group in DOC_TYPE_OF.values() for e in group)
 

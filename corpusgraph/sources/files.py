@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusgraph import schemas
 from corpusgraph.functions.text import extension
@@ -16,10 +18,14 @@ TABLES = ("documents", "chunks", "document_relations", "tags", "document_tags")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset and all
+    tasks run in the driver (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusgraph-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusgraph-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -73,10 +79,10 @@ def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: df for name, df in found.items() if df is not None}
 
 
-def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
     """A Parquet table, or None where nothing has been written; any other fault is raised."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
