@@ -17,7 +17,7 @@ from part
 HEADERS = f"""
 select 'h' || cast(p_partkey as string) as id, 'mod_' || cast(p_partkey as string) || '.h' as title, 'source_code' as doc_type,
   'int mod_' || cast(p_partkey as string) || '_init(int a);' || {_NL} as content, p_partkey + 1000000 as n
-from part where p_partkey < 200
+from part
 """
 NOTES = f"""
 select 'n' || cast(doc_id as string) as id, 'note_' || cast(doc_id as string) || '.md' as title, 'document' as doc_type,
@@ -44,8 +44,6 @@ from documents
 union all select 'n' || cast((doc_id * 7 + doc_id % 3) % 200 as string), 'n' || cast(doc_id as string), 'references', 'back ' || cast(doc_id as string), cast(0.5 as double) from documents where doc_id % 8 = 0
 """
 TAGS = "select 'n' || cast(doc_id as string) as document_id, lang as tag from documents where lang is not null union all select 'n' || cast(doc_id as string), source from documents where source is not null"
-QUERIES = "select item_id as query_id, array_to_string(string_split(text, ' ')[1:2], ' ') as query from benchmark"
-
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of a view over the driver's tables."""

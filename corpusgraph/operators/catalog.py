@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusgraph.functions.text import chunk_preview
 from corpusgraph.operators.relations import title_matches
+from corpusgraph.sources.files import stored
 
 EMPTY_STRINGS = "array<string>"
+#: Relations that a document's row lists at most; relation_pages has all.
+LISTED = 1000
 
 
 def _tags_of(document_tags: DataFrame) -> DataFrame:
@@ -33,15 +36,42 @@ def _both_ends(relations: DataFrame, docs: DataFrame) -> DataFrame:
     return rows[0].unionByName(rows[1]).join(ends, "other_id", "left")
 
 
-def document_details(docs: DataFrame, document_tags: DataFrame, relations: DataFrame) -> DataFrame:
-    """docs (id, title, doc_type, content) with tags and relations: outgoing ones first, then by type and other title."""
+def _first(rows: DataFrame, key: str, order: Column, most: int) -> DataFrame:
+    """The first rows of each key by order: those that come later never leave the task that reads them."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("__nth", nth).where(F.col("__nth") <= most).drop("__nth")
+
+
+def document_details(docs: DataFrame, document_tags: DataFrame, relations: DataFrame, most: int = LISTED) -> DataFrame:
+    """docs (id, title, doc_type, content) with tags and relations: outgoing ones first, then by type and other title.
+
+    Of a document with more than `most` relations the first so many are listed; relation_pages has them all.
+    """
     order = F.struct((F.col("direction") == "incoming").alias("in"), "relation_type", "other_title", "other_id", "confidence")
-    rels = _both_ends(relations, docs).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(order)).alias("r"))
+    ends = _both_ends(relations, docs).select("document_id", order.alias("o"))
+    rels = _first(ends, "document_id", F.col("o"), most).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list("o")).alias("r"))
     shown = F.transform("r", lambda r: F.struct(F.when(r["in"], "incoming").otherwise("outgoing").alias("direction"), r["relation_type"].alias("relation_type"), r["other_title"].alias("other_title"), r["other_id"].alias("other_id"), r["confidence"].alias("confidence")))
     out = docs.select("id", "title", "doc_type", "content").join(_tags_of(document_tags), "id", "left").join(rels.select("id", shown.alias("relations")), "id", "left")
     return out.withColumn("tags", F.coalesce("tags", F.array().cast(EMPTY_STRINGS))).withColumn("relations", F.coalesce("relations", F.array().cast(out.schema["relations"].dataType)))
 
 
+def relation_pages(relations: DataFrame, docs: DataFrame, size: int = LISTED) -> DataFrame:
+    """relations_of all documents with place (from 0, in the order of document_details) and page (place / size).
+
+    Rows are sorted by range, so that those of a hub are in many partitions, and each partition numbers its own; a partition
+    has the rows before its own from one count for each document and partition.
+    """
+    order = [F.col("direction") == "incoming", "relation_type", "other_title", "other_id", "confidence", "description"]
+    rows = stored(relations_of(relations, docs), "relations")
+    by_range = rows.repartitionByRange("document_id", *order).sortWithinPartitions("document_id", *order)
+    placed = stored(by_range.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "placed")
+    runs = placed.groupBy("document_id", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("document_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("document_id", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    out = placed.join(runs, ["document_id", "part"]).withColumn("place", F.col("before") + F.col("at") - F.col("first"))
+    return out.select(*rows.columns, "place", F.floor(F.col("place") / size).alias("page"))
+
+
 def relations_of(relations: DataFrame, docs: DataFrame, doc_ids: DataFrame | None = None, relation_type: str | None = None, self_loops_once: bool = False) -> DataFrame:
     """(document_id, direction, other_id, other_title, other_type, relation_type, confidence, description) of documents.
 
@@ -94,16 +124,18 @@ def code_context(docs: DataFrame, relations: DataFrame, lookups: DataFrame) -> D
     return out.withColumn("related", F.coalesce("related", F.array().cast(out.schema["related"].dataType))).select("lookup_id", "id", "title", "code", "related")
 
 
-def ingest_report(docs: DataFrame, chunks: DataFrame, relations: DataFrame) -> DataFrame:
-    """(id, title, doc_type, chunks_count, chunk_summary, relations_count, relations): ten previews, relations by confidence."""
+def ingest_report(docs: DataFrame, chunks: DataFrame, relations: DataFrame, most: int = LISTED) -> DataFrame:
+    """(id, title, doc_type, chunks_count, chunk_summary, relations_count, relations): ten previews, relations by confidence, the
+    first `most` of each document."""
     counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("chunks_count"))
     nth = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index"))
     first = chunks.select("document_id", "chunk_index", F.substring("content", 1, 80).alias("content"), "token_count", F.col("metadata.type").alias("type")).withColumn("n", nth).where("n <= 10")
     item = F.struct(F.col("chunk_index").alias("index"), chunk_preview(F.col("content")).alias("preview"), F.coalesce("token_count", F.lit(0)).alias("tokens"), F.coalesce("type", F.lit("text")).alias("type"))
     previews = first.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("chunk_summary"))
     rels = relations_of(relations, docs, self_loops_once=True)
+    numbers = rels.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("relations_count"))
     rel = F.struct((-F.col("confidence")).alias("by"), F.coalesce("other_title", F.lit("Unknown")).alias("target_title"), "relation_type", F.col("other_id").alias("target_id"), F.coalesce("other_type", F.lit("unknown")).alias("target_type"), "confidence")
-    rels = rels.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("relations_count"), F.array_sort(F.collect_list(rel)).alias("r"))
+    rels = _first(rels.select("document_id", rel.alias("o")), "document_id", F.col("o"), most).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list("o")).alias("r"))
     shown = F.transform("r", lambda r: F.struct(r["target_id"].alias("target_id"), r["target_title"].alias("target_title"), r["target_type"].alias("target_type"), r["relation_type"].alias("relation_type"), r["confidence"].alias("confidence")))
-    out = docs.select("id", "title", "doc_type").join(counts, "id", "left").join(previews, "id", "left").join(rels.select("id", "relations_count", shown.alias("relations")), "id", "left")
+    out = docs.select("id", "title", "doc_type").join(counts, "id", "left").join(previews, "id", "left").join(numbers, "id", "left").join(rels.select("id", shown.alias("relations")), "id", "left")
     return out.withColumns({"chunks_count": F.coalesce("chunks_count", F.lit(0)), "relations_count": F.coalesce("relations_count", F.lit(0))})

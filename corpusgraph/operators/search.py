@@ -45,28 +45,82 @@ def tokens(c: Column, tokenizer: str = "simple") -> Column:
     return F.flatten(F.transform(F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda t: t != ""), pairs))
 
 
+def asked_tokens(queries: DataFrame, tokenizer: str = "simple") -> DataFrame:
+    """(query_id, token, need): the different tokens of each query (query_id, query), and their number."""
+    own = queries.select("query_id", F.array_distinct(tokens(F.col("query"), tokenizer)).alias("t"))
+    return own.select("query_id", F.explode("t").alias("token"), F.size("t").alias("need"))
+
+
+def document_tokens(docs: DataFrame, tokenizer: str = "simple") -> DataFrame:
+    """(document_id, tokens): the tokens of title and content in order. docs: id, title, content."""
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+    return docs.select(F.col("id").alias("document_id"), tokens(text, tokenizer).alias("tokens"))
+
+
+def with_all_tokens(postings: DataFrame, asked: DataFrame, often: DataFrame) -> DataFrame:
+    """Postings (document_id, token, ...) of the documents that hold all tokens of a query, for each of its tokens, with
+    query_id and need. A query is paired with the documents of its rarest token (often: token, n) alone, and then looks for
+    its others in them."""
+    # a token that no document has makes its query find nothing
+    rarest = asked.join(often, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
+    pairs = postings.select("document_id", "token").join(rarest, "token").select("query_id", "document_id")
+    return pairs.join(asked, "query_id").join(postings, ["document_id", "token"])
+
+
+def _frequency(tf: Column) -> Column:
+    """1 + 1/4 + ... + 1/n^2 for n occurrences."""
+    return F.aggregate(F.sequence(F.lit(1), tf.cast("int")), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j))
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "document_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def rank_by_frequency(postings: DataFrame, asked: DataFrame, often: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, document_id, score) from postings with tf."""
+    scored = with_all_tokens(postings, asked, often).groupBy("query_id", "document_id", "need").agg(F.count("*").alias("n"), F.sum(_frequency(F.col("tf"))).alias("w"))
+    return _ranked(scored.where("n = need").select("query_id", "document_id", (F.col("w") / F.col("need")).alias("score")), k).select("query_id", "rank", "document_id", "score")
+
+
+def _smallest_window(events: Column, need: Column) -> Column:
+    """The number of words of the smallest window that holds all of a query's tokens. events: (pos, token's number) by pos."""
+
+    def step(held: Column, e: Column) -> Column:
+        last = F.transform(held["last"], lambda x, i: F.when(i == e["t"], e["pos"]).otherwise(x))
+        width = F.when(F.array_min(last) >= 0, e["pos"] - F.array_min(last) + 1)
+        return F.struct(last.alias("last"), F.least(held["least"], width).alias("least"))
+
+    start = F.struct(F.array_repeat(F.lit(-1), need).alias("last"), F.lit(None).cast("int").alias("least"))
+    return F.aggregate(events, start, step, lambda held: held["least"])
+
+
+def rank_by_proximity(postings: DataFrame, asked: DataFrame, often: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, document_id, score, width) from postings with tf and ascending positions.
+
+    width is the number of words of the smallest window with all the query's tokens; the score is that by frequency times
+    need / width, so it falls with the distance of the tokens and is the same as by frequency where they stand side by side.
+    """
+    found = with_all_tokens(postings, asked, often)
+    item = F.struct("token", "positions")
+    scored = found.groupBy("query_id", "document_id", "need").agg(F.count("*").alias("n"), F.sum(_frequency(F.col("tf"))).alias("w"), F.array_sort(F.collect_list(item)).alias("of")).where("n = need")
+    events = F.array_sort(F.flatten(F.transform("of", lambda o, t: F.transform(o["positions"], lambda p: F.struct(p.alias("pos"), t.alias("t"))))))
+    hits = scored.withColumn("width", _smallest_window(events, F.col("need")))
+    hits = hits.select("query_id", "document_id", "width", (F.col("w") / F.col("width")).alias("score"))
+    return _ranked(hits, k).select("query_id", "rank", "document_id", "score", "width")
+
+
 def fulltext_search(docs: DataFrame, queries: DataFrame, k: int, doc_type: str | None = None, document_tags: DataFrame | None = None, tags: list[str] | None = None, tokenizer: str = "simple") -> DataFrame:
     """(query_id, rank, document_id, score): documents whose title and content hold all tokens of a query.
 
     docs: id, title, content, doc_type; queries: query_id, query. Score: the mean over the query's different tokens of
     1 + 1/4 + ... + 1/n^2 for n occurrences; ties by id. A query without tokens finds nothing. Only tokens of queries leave
-    the scan of the texts; a query is paired with the documents of its rarest token alone, and then looks for its others in
-    them.
+    the scan of the texts. For many batches of queries on one corpus see operators.textindex.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), tokenizer))).alias("token"))
-    need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
-    own = _wanted(docs, doc_type, document_tags, tags).select(F.col("id").alias("document_id"), F.explode(tokens(text, tokenizer)).alias("token"))
+    asked = asked_tokens(queries, tokenizer)
+    own = document_tokens(_wanted(docs, doc_type, document_tags, tags), tokenizer).select("document_id", F.explode("tokens").alias("token"))
     counts = stored(own.join(asked.select("token").distinct(), "token", "left_semi").groupBy("document_id", "token").agg(F.count("*").alias("tf")), "postings")
-    often = counts.groupBy("token").agg(F.count("*").alias("n"))
-    # a token that no document has makes its query find nothing
-    rarest = asked.join(often, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
-    pairs = counts.select("document_id", "token").join(rarest, "token").select("query_id", "document_id")
-    weight = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j))
-    scored = pairs.join(asked, "query_id").join(counts, ["document_id", "token"]).groupBy("query_id", "document_id").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
-    hits = scored.join(need, "query_id").where("n = need").select("query_id", "document_id", (F.col("w") / F.col("need")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "document_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "document_id", "score")
+    return rank_by_frequency(counts, asked, counts.groupBy("token").agg(F.count("*").alias("n")), k)
 
 
 def rrf_fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int = 60, limit: int = 10) -> DataFrame:

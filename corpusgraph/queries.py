@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusgraph import fixtures as fx
 from corpusgraph.functions import text
 from corpusgraph.operators import catalog, chunking, embed, extract, maintain, relations, search, validate
+from corpusgraph.operators.store import CorpusStore
+from corpusgraph.operators.textindex import TextIndex
 from corpusgraph.sources import files
 from corpusgraph.streaming.ingest import ingest_stream, read_stored
 
@@ -465,11 +467,13 @@ def e3_document_vectors(spark, sf_dir):
 
 # --- relations --------------------------------------------------------------------------------------
 
-_J1_DOCS = f"select id, title, doc_type, content from ({fx.CORPUS}) c where doc_type <> 'schematic'"
+#: The whole corpus, and headers that schematics refer to by their chips.
+_J1_DOCS = f"select id, title, doc_type, content from ({fx.CORPUS}) c union all select 'a' || cast(s_suppkey as string) as id, 'STM32F' || cast(s_suppkey as string) || '_hal.h' as title, 'source_code' as doc_type, '// ' || s_name as content from supplier"
 _J1 = f"""
 with refs as (
   select id, title, doc_type, unnest(range(len(r)))::int as pos, unnest(r) as ref from (
     select id, title, doc_type, case when doc_type = 'source_code' then regexp_extract_all(content, '#include\\s*[<"]([^>"]+)[>"]', 1)
+      when doc_type = 'schematic' then list_transform(list_concat(regexp_extract_all(content, 'Value=(STM32\\w+)', 1), regexp_extract_all(content, '\\b((?:SPI\\d?|GPIO)_\\w+)', 1)), lambda x: lower(x))
       else list_concat(regexp_extract_all(content, '\\[([^\\]]+)\\]\\(([^)]+)\\)', 2), regexp_extract_all(content, '`([^`]+\\.\\w{{1,5}})`', 1)) end as r from ({_J1_DOCS}) c) t
 ), b as (select *, lower(string_split(replace(ref, '\\', '/'), '/')[-1]) as base from refs), t as (select id, lower(title) as low from ({_J1_DOCS}) c),
 m as (select x.base, x.low from (select distinct base, low from (select distinct base from b) bb, (select distinct low from t) tt where base <> '' and low like '%' || base || '%') x)
@@ -481,8 +485,10 @@ from b join m on m.base = b.base join t on t.low = m.low where b.id <> t.id grou
 def _j1(spark, sf_dir):
     docs = _view(spark, sf_dir, _J1_DOCS)
     files = _docs(spark, sf_dir, _J1_DOCS)
+    boards = files.where("parser = 'schematic'")
     refs = extract.code_references(files.where("parser = 'code'")).unionByName(extract.link_references(files.where("parser = 'text'")))
-    return relations.relations_by_reference(docs, refs)
+    parts = extract.schematic_references(extract.schematic_components(boards), extract.schematic_signals(boards))
+    return relations.relations_by_reference(docs, refs.unionByName(parts.select("document_id", F.lit(0).alias("pos"), "ref")))
 
 
 @_query(_J1)
@@ -554,7 +560,8 @@ def j5_add_relations(spark, sf_dir):
 
 _Q_DOCS = f"select 'v' || cast(doc_id as string) as id, 'note_' || cast(doc_id as string) || '.md' as title, text as content, case doc_id % 2 when 0 then 'document' else 'note' end as doc_type from documents"
 _Q_CHUNKS = "select 'v' || cast(label * 5 + vec_id % 5 as string) as document_id, cast(vec_id as int) as chunk_index, 'chunk ' || cast(vec_id as string) as content, embedding from embeddings"
-_Q_QUERIES = "select item_id as query_id, split_part(text, ' ', 1) || ', ' || split_part(text, ' ', 2) || '!' as query from benchmark"
+#: Whole benchmark items, and pairs of words.
+_Q_QUERIES = "select item_id as query_id, text as query from benchmark union all select item_id + 1000000 as query_id, split_part(text, ' ', 1) || ', ' || split_part(text, ' ', 2) || '!' as query from benchmark"
 _Q1 = f"""
 qv as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0), c as (select document_id, chunk_index, content, embedding::double[] as e from ({_Q_CHUNKS}) x where document_id in (select id from ({_Q_DOCS}) d)),
 dd as (select query_id, document_id, chunk_index, content, case when e is not null then 1 - list_inner_product(q, e) / sqrt(list_inner_product(q, q)) / sqrt(list_inner_product(e, e)) end as distance from qv, c),
@@ -584,8 +591,25 @@ def q1_vector_search(spark, sf_dir):
 
 @_query(f"with {_Q2} select query_id, rank::int as rank, document_id, round(score, 6) as score from t where rank <= 10")
 def q2_fulltext_search(spark, sf_dir):
+    """Two batches of queries on one stored index."""
     _, words, _ = _q_queries(spark, sf_dir)
-    return search.fulltext_search(_view(spark, sf_dir, _Q_DOCS), words, 10).withColumn("score", F.round("score", 6))
+    index = TextIndex.build(_view(spark, sf_dir, _Q_DOCS))
+    return index.search(words.where("query_id < 1000000"), 10).unionByName(index.search(words.where("query_id >= 1000000"), 10)).withColumn("score", F.round("score", 6))
+
+
+@_query(f"""
+with {_Q2}, tp as (select id, unnest(w) as token, unnest(range(len(w)))::int as pos from (select id, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') as w from ({_Q_DOCS}) d) x),
+hit as (select sc.query_id, id as document_id, w from sc join need using (query_id) where n = need),
+ev as (select h.query_id, h.document_id, p.pos, p.token from hit h join qt on qt.query_id = h.query_id join tp p on p.id = h.document_id and p.token = qt.token),
+la as (select e.query_id, e.document_id, e.pos, q.token, max(case when e.token = q.token then e.pos end) over (partition by e.query_id, e.document_id, q.token order by e.pos) as last from ev e join qt q on q.query_id = e.query_id),
+wi as (select query_id, document_id, pos, pos - min(last) + 1 as width from la group by 1, 2, 3 having count(last) = count(*)),
+wm as (select query_id, document_id, min(width)::int as width from wi group by 1, 2), rs as (select query_id, document_id, width, w / width as score from wm join hit using (query_id, document_id)),
+rr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, document_id) as rk from rs)
+select query_id, rk::int as rank, document_id, width, round(score, 6) as score from rr where rk <= 10
+""")
+def q5_proximity_search(spark, sf_dir):
+    _, words, _ = _q_queries(spark, sf_dir)
+    return TextIndex.build(_view(spark, sf_dir, _Q_DOCS)).search_near(words, 10).withColumn("score", F.round("score", 6))
 
 
 _FUSED = """
@@ -711,7 +735,10 @@ union all select 'link', id, 'patched', null from p where how > 2
 def m2_apply_patches(spark, sf_dir):
     patches = _view(spark, sf_dir, _M_PATCH)
     tags = F.when(F.col("how") == 0, F.lit(None).cast("array<string>")).when(F.col("how") > 2, F.array(F.lit("patched"))).otherwise(F.array().cast("array<string>"))
-    docs, links = maintain.apply_patches(_view(spark, sf_dir, _G_DOCS).drop("updated_at"), _view(spark, sf_dir, fx.TAGS), patches.select("id", "title", "content", tags.alias("tags")))
+    store = CorpusStore(spark, files.new_folder(spark, "store"), 16)
+    store.create({"documents": _view(spark, sf_dir, _G_DOCS).drop("updated_at"), "document_tags": _view(spark, sf_dir, fx.TAGS)})
+    store.patch(patches.select("id", "title", "content", tags.alias("tags")))
+    docs, links = store.read("documents"), store.read("document_tags")
     return docs.select(F.lit("doc").alias("kind"), F.col("id").alias("a"), F.col("title").alias("b"), F.col("content").alias("c")).unionByName(links.select(F.lit("link").alias("kind"), F.col("document_id").alias("a"), F.col("tag").alias("b"), F.lit(None).cast("string").alias("c")))
 
 
@@ -723,7 +750,10 @@ union all select 'relation', source_id, target_id from ({fx.EDGES}) e where sour
 def m3_delete_documents(spark, sf_dir):
     edges = _view(spark, sf_dir, fx.EDGES)
     ids = _view(spark, sf_dir, "select 'n' || cast(doc_id as string) as id from documents where doc_id % 3 = 1")
-    left = maintain.delete_documents(ids, {"documents": _view(spark, sf_dir, _G_DOCS), "document_tags": _view(spark, sf_dir, fx.TAGS), "relations": edges})
-    rels = maintain.delete_relations(edges.where("relation_type = 'depends_on'"), left["relations"])
+    store = CorpusStore(spark, files.new_folder(spark, "store"), 16)
+    store.create({"documents": _view(spark, sf_dir, _G_DOCS), "document_tags": _view(spark, sf_dir, fx.TAGS), "document_relations": edges})
+    store.delete(ids)
+    store.delete_relations(edges.where("relation_type = 'depends_on'"))
+    left, rels = {n: store.read(n) for n in ("documents", "document_tags")}, store.read("document_relations")
     kind = lambda k, df, a, b: df.select(F.lit(k).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
     return kind("doc", left["documents"], "id", "title").unionByName(kind("link", left["document_tags"], "document_id", "tag")).unionByName(kind("relation", rels, "source_id", "target_id"))
