@@ -56,11 +56,14 @@ def s1_scan_files(spark, sf_dir):
 
 @_query(f"select 'document' as kind, id as a, doc_type as b, title as c from ({fx.CORPUS}) d union all select 'chunk', document_id, cast(chunk_index as varchar), content from ({fx.CHUNKS}) c")
 def s2_write_read(spark, sf_dir):
+    """Documents as Parquet files by type, chunks as a bucketed table, read back from both."""
     folder = files.new_folder(spark, "corpus")
-    files.write_corpus({"documents": _view(spark, sf_dir, fx.CORPUS), "chunks": _view(spark, sf_dir, fx.CHUNKS)}, folder)
-    back = files.read_corpus(spark, folder)
-    docs = back["documents"].select(F.lit("document").alias("kind"), F.col("id").alias("a"), F.col("doc_type").alias("b"), F.col("title").alias("c"))
-    return docs.unionByName(back["chunks"].select(F.lit("chunk").alias("kind"), F.col("document_id").alias("a"), F.col("chunk_index").cast("string").alias("b"), F.col("content").alias("c")))
+    prefix = f"s2_{folder.rsplit('-', 1)[1]}"
+    files.write_corpus({"documents": _view(spark, sf_dir, fx.CORPUS)}, folder)
+    files.write_bucketed({"chunks": _view(spark, sf_dir, fx.CHUNKS)}, f"{folder}/bucketed", prefix, 8)
+    docs, chunks = files.read_corpus(spark, folder)["documents"], files.open_bucketed(spark, f"{folder}/bucketed", prefix, ["chunks"], 8)["chunks"]
+    docs = docs.select(F.lit("document").alias("kind"), F.col("id").alias("a"), F.col("doc_type").alias("b"), F.col("title").alias("c"))
+    return docs.unionByName(chunks.select(F.lit("chunk").alias("kind"), F.col("document_id").alias("a"), F.col("chunk_index").cast("string").alias("b"), F.col("content").alias("c")))
 
 
 _NAME = "source || '_' || cast(doc_id - doc_id % 100 as varchar) || '.md'"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,34 @@ def write_corpus(tables: dict[str, DataFrame], path: str) -> None:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+#: The column by which each table is bucketed, and the order within a bucket.
+BUCKETED = {"documents": ["id"], "chunks": ["document_id", "chunk_index"], "document_relations": ["source_id", "target_id"], "document_tags": ["document_id", "tag"], "call_edges": ["document_id", "pos"]}
+
+
+def write_bucketed(tables: dict[str, DataFrame], path: str, prefix: str, buckets: int = 64) -> None:
+    """Tables `prefix_name` of the catalog, stored below path in buckets by document and sorted within them.
+
+    Joins and aggregations by document then need no exchange: vectors of documents, chunks of documents, reports. `buckets` is
+    best a multiple of the cores, the same for all tables.
+    """
+    for name, df in tables.items():
+        key, *rest = BUCKETED[name]
+        # a task writes a file for each bucket it has rows of, so rows are dealt to tasks by bucket first
+        df.repartition(buckets, key).write.mode("overwrite").option("path", f"{path}/{name}").bucketBy(buckets, key).sortBy(key, *rest).saveAsTable(f"{prefix}_{name}")
+
+
+def open_bucketed(spark: SparkSession, path: str, prefix: str, names: Iterable[str], buckets: int = 64) -> dict[str, DataFrame]:
+    """Tables of write_bucketed, which are made known to the catalog of this session if they aren't."""
+    out = {}
+    for name in names:
+        if not spark.catalog.tableExists(f"{prefix}_{name}"):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{name}").schema)
+            key, *rest = BUCKETED[name]
+            spark.sql(f"create table `{prefix}_{name}` ({columns}) using parquet clustered by (`{key}`) sorted by ({', '.join(f'`{c}`' for c in (key, *rest))}) into {buckets} buckets location '{path}/{name}'")
+        out[name] = spark.table(f"{prefix}_{name}")
+    return out
+
+
 def read_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables that are there."""
     found = {name: read_if_there(spark, f"{path}/{name}") for name in TABLES}
