@@ -19,6 +19,27 @@ select 'h' || cast(p_partkey as string) as id, 'mod_' || cast(p_partkey as strin
   'int mod_' || cast(p_partkey as string) || '_init(int a);' || {_NL} as content, p_partkey + 1000000 as n
 from part
 """
+CPP = f"""
+select 'k' || cast(p_partkey as string) as id, 'tank_' || cast(p_partkey as string) || '.cpp' as title, 'source_code' as doc_type,
+  '#include <vector>' || {_NL} || '#include "mod_' || cast(p_partkey % 50 as string) || '.hpp"' || {_NL} || {_NL} || '// ' || p_name || {_NL}
+  || 'int Tank' || cast(p_partkey % 7 as string) || '::fill(int a) const {{' || {_NL} || '    return pump_' || cast(p_size as string) || '(a);' || {_NL} || '}}' || {_NL} || {_NL}
+  || 'void drain_' || cast(p_partkey as string) || '(std::vector<int>& a) {{' || {_NL} || '    close_all(a);' || {_NL} || '}}' || {_NL} as content, p_partkey as n
+from part
+"""
+JAVA = f"""
+select 'j' || cast(p_partkey as string) as id, 'Tank' || cast(p_partkey as string) || '.java' as title, 'source_code' as doc_type,
+  'import java.util.List;' || {_NL} || 'import parts.mod_' || cast(p_partkey % 50 as string) || ';' || {_NL} || {_NL} || '// ' || p_name || {_NL}
+  || 'public static int fill_' || cast(p_partkey as string) || '(int a) {{' || {_NL} || '    return pump_' || cast(p_size as string) || '(a);' || {_NL} || '}}' || {_NL}
+  || 'private List<String> names(int a) {{' || {_NL} || '    return read_all(a);' || {_NL} || '}}' || {_NL} as content, p_partkey as n
+from part
+"""
+KICAD = f"""
+select 'y' || cast(s_suppkey as string) as id, 'main_' || cast(s_suppkey as string) || '.kicad_sch' as title, 'schematic' as doc_type,
+  '(kicad_sch' || {_NL} || '(symbol "Device:R" (property "Reference" "R' || cast(s_suppkey % 9 as string) || '") (property "Value" "' || cast(s_nationkey as string) || 'K"))' || {_NL}
+  || '(symbol "MCU:STM32" (property "Reference" "U' || cast(s_suppkey as string) || '") (property "Value" "STM32F' || cast(s_nationkey as string) || '"))' || {_NL}
+  || '(label "NET_' || cast(s_suppkey % 5 as string) || '")' || {_NL} || '(global_label "SPI1_CS' || cast(s_nationkey as string) || '"))' || {_NL} as content, s_suppkey as n
+from supplier
+"""
 NOTES = f"""
 select 'n' || cast(doc_id as string) as id, 'note_' || cast(doc_id as string) || '.md' as title, 'document' as doc_type,
   '# Note ' || cast(doc_id as string) || {_NL} || {_NL} || '## Overview' || {_NL} || replace(text, {_NL}, {_NL} || {_NL}) || {_NL} || {_NL} || '## Links' || {_NL}

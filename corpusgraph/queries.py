@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusgraph import fixtures as fx
 from corpusgraph.functions import text
 from corpusgraph.operators import catalog, chunking, embed, extract, maintain, relations, search, validate
+from corpusgraph.operators.parse import parse_once
 from corpusgraph.operators.store import CorpusStore
 from corpusgraph.operators.textindex import TextIndex
 from corpusgraph.sources import files
@@ -284,6 +285,35 @@ def c5_chunk_functions(spark, sf_dir):
     return _plain(chunking.chunk_functions(_docs(spark, sf_dir, fx.CODE)), "type", "file", "function", "start_line", "end_line")
 
 
+_MORE_CODE = "select id, title, string_split(content, chr(10)) as x from ({}) c"
+_UNDER_IMPORTS = "'// File: ' || title || chr(10) || x[1] || chr(10) || x[2] || chr(10) || chr(10) || "
+
+
+@_query(f"""
+with c as ({_MORE_CODE.format(fx.CPP)}), r as (
+  select id, 0 as k, array_to_string(x[1:4], chr(10)) as content, 'header' as type, title, null as function, null::int as a, null::int as b from c
+  union all select id, 1, {_UNDER_IMPORTS} array_to_string(x[5:7], chr(10)), 'function', title, regexp_extract(x[5], '(\\w+::\\w+)', 1), 5, 8 from c
+  union all select id, 2, {_UNDER_IMPORTS} array_to_string(x[9:11], chr(10)), 'function', title, regexp_extract(x[9], 'void (\\w+)', 1), 9, 12 from c)
+select id as document_id, k::int as chunk_index, content, type, title as file, function, a as start_line, b as end_line, {_TOKENS.format(c='content')} as token_count from r
+""")
+def c5_chunk_functions_cpp(spark, sf_dir):
+    return _plain(chunking.chunk_functions(_docs(spark, sf_dir, fx.CPP)), "type", "file", "function", "start_line", "end_line")
+
+
+#: In Java a call behind `return` looks like a definition, and is taken for one.
+@_query(f"""
+with c as ({_MORE_CODE.format(fx.JAVA)}), r as (
+  select id, 0 as k, array_to_string(x[1:4], chr(10)) as content, 'header' as type, title, null as function, null::int as a, null::int as b from c
+  union all select id, 1, {_UNDER_IMPORTS} x[5], 'function', title, regexp_extract(x[5], '(\\w+)\\(', 1), 5, 5 from c
+  union all select id, 2, {_UNDER_IMPORTS} array_to_string(x[6:7], chr(10)), 'function', title, regexp_extract(x[6], '(\\w+)\\(', 1), 6, 7 from c
+  union all select id, 3, {_UNDER_IMPORTS} x[8], 'function', title, regexp_extract(x[8], '(\\w+)\\(', 1), 8, 8 from c
+  union all select id, 4, {_UNDER_IMPORTS} array_to_string(x[9:10], chr(10)), 'function', title, regexp_extract(x[9], '(\\w+)\\(', 1), 9, 11 from c)
+select id as document_id, k::int as chunk_index, content, type, title as file, function, a as start_line, b as end_line, {_TOKENS.format(c='content')} as token_count from r
+""")
+def c5_chunk_functions_java(spark, sf_dir):
+    return _plain(chunking.chunk_functions(_docs(spark, sf_dir, fx.JAVA)), "type", "file", "function", "start_line", "end_line")
+
+
 PYTHON = f"""
 select 'p' || cast(p_partkey as string) as id, 'mod_' || cast(p_partkey as string) || '.py' as title,
   'import json' || chr(10) || 'from mod_' || cast(p_partkey % 9 as string) || ' import x' || chr(10) || chr(10) || 'class Part:' || chr(10) || '    def size(self):' || chr(10) || '        return self.get(' || cast(p_size as string) || ')' || chr(10) || chr(10)
@@ -361,6 +391,14 @@ def x1_code_references(spark, sf_dir):
     return extract.code_references(_docs(spark, sf_dir, fx.CODE))
 
 
+@_query(f"""
+with r as (select id, regexp_extract_all(content, '#include\\s*[<"]([^>"]+)[>"]', 1) as r from ({fx.CPP}) c union all select id, regexp_extract_all(content, 'import\\s+([\\w.]+);', 1) from ({fx.JAVA}) c)
+select id as document_id, unnest(range(len(r)))::int as pos, unnest(r) as ref from r
+""")
+def x1_code_references_more(spark, sf_dir):
+    return extract.code_references(_docs(spark, sf_dir, fx.CPP)).unionByName(extract.code_references(_docs(spark, sf_dir, fx.JAVA)))
+
+
 @_query(f"with r as (select id, list_concat(regexp_extract_all(content, '\\[([^\\]]+)\\]\\(([^)]+)\\)', 2), regexp_extract_all(content, '`([^`]+\\.\\w{{1,5}})`', 1)) as r from ({fx.NOTES}) c) select id as document_id, unnest(range(len(r)))::int as pos, unnest(r) as ref from r")
 def x2_link_references(spark, sf_dir):
     return extract.link_references(_docs(spark, sf_dir, fx.NOTES))
@@ -385,6 +423,33 @@ def x5_schematic_signals(spark, sf_dir):
     return extract.schematic_signals(_docs(spark, sf_dir, fx.BOARDS))
 
 
+_KICAD = f"""
+select id as document_id, title, regexp_extract_all(content, 'symbol "([^"]+)"', 1) as libs, regexp_extract_all(content, '"Reference" "([^"]+)"', 1) as refs, regexp_extract_all(content, '"Value" "([^"]+)"', 1) as vals,
+  list_sort(list_distinct(regexp_extract_all(content, 'label "([^"]+)"', 1))) as nets from ({fx.KICAD}) k
+"""
+
+
+@_query(f"select document_id, unnest(range(len(refs)))::int as pos, unnest(refs) as designator, unnest(vals) as value, unnest(libs) as lib from ({_KICAD}) k")
+def x4_kicad_components(spark, sf_dir):
+    return extract.schematic_components(_docs(spark, sf_dir, fx.KICAD))
+
+
+@_query(f"select document_id, unnest(nets) as signal from ({_KICAD}) k")
+def x5_kicad_signals(spark, sf_dir):
+    return extract.schematic_signals(_docs(spark, sf_dir, fx.KICAD))
+
+
+@_query(f"""
+with l as (select document_id, title, nets, refs, list_transform(range(1, len(refs) + 1), lambda i: '  ' || refs[i] || ': ' || vals[i] || ' (' || libs[i] || ')') as lines from ({_KICAD}) k)
+select document_id, '# Schematic: ' || title || chr(10) || chr(10) || '## Components (' || len(lines) || '):' || chr(10) || array_to_string(lines, chr(10)) || chr(10) || chr(10) || '## Nets/Signals (' || len(nets) || '):' || chr(10) || array_to_string(nets, ', ') || chr(10) as content,
+  len(lines)::int as components_count, len(nets)::int as nets_count, refs as components, nets as signals from l
+""")
+def x11_kicad_summary(spark, sf_dir):
+    """By one pass over the files: what was found in each of them, and its summary from that."""
+    parsed = parse_once(_docs(spark, sf_dir, fx.KICAD))
+    return extract.schematic_summary(parsed["component"], parsed["signal"], parsed["file"])
+
+
 @_query(f"select id as document_id, unnest(['stm32f' || n, 'spi' || (n % 4) || '_mosi', 'gpio_write']) as ref from ({fx.BOARDS}) b")
 def x6_schematic_references(spark, sf_dir):
     boards = _docs(spark, sf_dir, fx.BOARDS)
