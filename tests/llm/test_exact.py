@@ -282,7 +282,7 @@ def _planted_pii(rng, n, share):
     for _ in range(n):
         plain = [lambda: f"mail {word()}.{word()}@{word()}.org", lambda: f"host 10.{rng.randrange(256)}.{rng.randrange(256)}.7", lambda: "card " + " ".join(re.findall("....", card(True))), lambda: f"call +1 ({digits(3)}) {digits(3)}-{digits(4)}"]
         hidden = [lambda: ("email", "mail ", f"{word()}.{word()} (at) {word()} (dot) org"), lambda: ("ip", "host ", f"10[.]{rng.randrange(256)}[.]{rng.randrange(256)}[.]7"), lambda: ("card", "card ", ".".join(re.findall("....", card(True)))), lambda: ("phone", "call ", f"1 ({digits(3)}) {digits(3)}-{digits(4)}")]
-        decoys = [lambda: "order " + ".".join(re.findall("....", card(False))), lambda: f"section {digits(1)}.{digits(1)}.{digits(1)}.999", lambda: f"sum 12-{digits(3)}-{digits(4)}-{digits(4)}", lambda: "order " + " ".join(re.findall("....", card(False)))]
+        decoys = [lambda: f"host {rng.randrange(1, 256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}", lambda: f"call 10.{rng.randrange(100, 256)}.{rng.randrange(100, 256)}.{rng.randrange(100, 256)}", lambda: f"version {digits(1)}.{digits(2)}.{digits(1)}", lambda: f"on 20{digits(2)}-0{digits(1)}-1{digits(1)}", lambda: f"on 1{digits(1)}.0{digits(1)}.20{digits(2)}", lambda: f"order {digits(8)}", lambda: "order " + ".".join(re.findall("....", card(False))), lambda: f"section {digits(1)}.{digits(1)}.{digits(1)}.999", lambda: f"sum 12-{digits(3)}-{digits(4)}-{digits(4)}", lambda: "order " + " ".join(re.findall("....", card(False)))]
         text, own = word(), []
         for _ in range(rng.randint(1, 4)):
             text += " " + " ".join(word() for _ in range(rng.randint(1, 12))) + " "
@@ -301,23 +301,26 @@ def _planted_pii(rng, n, share):
 
 
 def test_pii_spans_that_no_rule_takes(spark):
+    """Among addresses, versions, dates and order numbers: for each kind 0.9 of the disguised spans, and 0.9 of the added ones
+    right; none lies on a rule's span of another kind."""
     # disguised spans are rare where the trees learn, as there they count as negatives
-    learned, _ = _planted_pii(random.Random(14), 1200, 0.005)
+    learned, _ = _planted_pii(random.Random(14), 1500, 0.005)
     model = pii.fit(spark.createDataFrame(list(enumerate(learned)), "doc_id long, text string"))
-    assert model is not None and model.threshold < 1
+    assert model is not None and max(model.thresholds) < 1
     texts, planted = _planted_pii(random.Random(15), 800, 0.2)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    right = wrong = 0
+    right, wrong = dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0)
     for r in pii.with_spans(df, model).select("doc_id", pii.told(F.col("base")).alias("b"), pii.told(F.col("spans")).alias("s")).collect():
         base = _base(texts[r["doc_id"]])
         assert r["b"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base)
         for x in set(r["s"].split(",")) - set(r["b"].split(",")):
             kind, a, b = x.split(":")
-            if any(k == kind and p < int(b) and int(a) < q for k, p, q in planted[r["doc_id"]]):
-                right += 1
-            else:
-                wrong += 1
-    assert right >= 0.9 * sum(map(len, planted)) and right >= 0.9 * (right + wrong)
+            assert not any(p < int(b) and int(a) < q for p, _, q in base)
+            hit = any(k == kind and p < int(b) and int(a) < q for k, p, q in planted[r["doc_id"]])
+            (right if hit else wrong)[kind] += 1
+    for kind in pii.KINDS:
+        there = sum(k == kind for own in planted for k, _, _ in own)
+        assert there > 50 and right[kind] >= 0.9 * there and right[kind] >= 0.9 * (right[kind] + wrong[kind]), kind
 
 
 def test_redaction(spark):
@@ -327,9 +330,9 @@ def test_redaction(spark):
 
 
 def test_trees_learn_a_rule():
-    rows = [((k, d, 0, 0, v, 1, 1, 0), 100, 95 if v and d > 9 else 3) for k in range(4) for d in range(15) for v in (0, 1)]
+    rows = [((k, d, 0, 0, v, 1, 1, 0, 0), 100, 95 if v and d > 9 else 3) for k in range(4) for d in range(15) for v in (0, 1)]
     base, trees = pii.boost(rows)
-    m = pii.Boosted(base, trees, 0.5)
+    m = pii.Boosted(base, trees, (0.5,) * 4)
     assert all((m.score(x) > 0.5) == (p > 50) for x, _, p in rows)
 
 
