@@ -90,8 +90,10 @@ def shuffled_shards(df: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
 
     spark = df.sparkSession
     dealt = spark.createDataFrame([(p, upto(row)) for (p, _), row in zip(sizes, matrix, strict=True)], "part int, upto array<long>")
-    local = F.row_number().over(Window.partitionBy("part").orderBy(uniform_key("place", seed=seed), "place"))
-    sent = placed.withColumn("nth", local).join(dealt, "part")
+    # the first permutation: each partition sorts its own rows by a hash and numbers them, so none of them moves
+    local = placed.withColumn("key", uniform_key("place", seed=seed)).sortWithinPartitions("key", "place")
+    sent = local.withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    sent = sent.join(F.broadcast(dealt), "part")  # a number for each partition and shard
     sent = sent.withColumn("shard", F.size(F.filter("upto", lambda x: x < F.col("nth"))))
     # the second permutation: a random order within each shard, cut into ranges that fit one task
     order = uniform_key("place", seed=seed + 1)

@@ -352,6 +352,17 @@ def test_sharding_query_tells_sizes_and_sums(spark):
     assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
 
 
+def test_rows_move_once_before_their_slots(spark):
+    """The first permutation is local: up to the windows of slots, rows cross one exchange."""
+    df = spark.range(1000).repartition(7).withColumn("text", F.lit("x"))
+    out = sharding.shuffled_shards(df, 4, seed=1)
+    got = out.collect()
+    assert sorted(r["id"] for r in got) == list(range(1000)) and len({r["shard"] for r in got}) == 4
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    by_rows = [x for x in plan.split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning(shard" in x and "row#" in x or "Exchange" in x and "part#" in x and "row#" in x]
+    assert "hashpartitioning(part" not in plan and len(by_rows) <= 1
+
+
 def test_schema_of_contract(spark):
     from corpusgraph.llm.queries import QUERIES
 
