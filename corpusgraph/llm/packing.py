@@ -3,10 +3,12 @@
 A document is cut into whole windows of the longest context; what is left of it goes to the tier of the shortest
 context that holds it. Each tier is packed into windows of its own size; the gap that the tier's next piece can't fill is
 filled from shorter tiers, and at last by cutting a piece. Windows of a tier are exactly full, so they need no padding.
-Sequences of one context are dealt into step groups of equal numbers of tokens.
-
 All of it happens within a task, on a stream of batches: a task holds a few windows of pending pieces for each tier, and
-only its last sequence may be padded. Nothing is shuffled.
+only its last sequence may be padded.
+
+Sequences of one context are then dealt into step groups over all tasks: the pieces are stored, each task's number of
+sequences of a context is counted, and the running numbers are cut into groups whose sizes differ by one at most. Only these
+counts are sent; no piece is shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusgraph.llm.common import table
+from corpusgraph.llm.common import stored, table
 from corpusgraph.llm.tokens import END_ID, encoder
 
 CONTEXTS = (256, 512, 1024, 2048)
@@ -29,7 +32,9 @@ WINDOWS_AHEAD = 4
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 16
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, step_group long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int"
+#: With the task, and the sequence's number among those of its context there.
+_PACKED = f"{PIECES}, part int, nth long"
 
 
 class _Piece:
@@ -42,13 +47,12 @@ class _Piece:
 class TierPacker:
     """Takes documents one by one, keeps finished rows in `rows`."""
 
-    def __init__(self, contexts: tuple[int, ...], partition: int, step_tokens: int = STEP_TOKENS):
+    def __init__(self, contexts: tuple[int, ...], partition: int):
         self.contexts = sorted(contexts)
         self.tiers: dict[int, deque[_Piece]] = {c: deque() for c in self.contexts}
         self.held = dict.fromkeys(self.contexts, 0)
         self.made = dict.fromkeys(self.contexts, 0)
-        self.sequence = self.base = partition << 36
-        self.step_tokens = step_tokens
+        self.partition, self.sequence = partition, partition << 36
         self.rows: list[tuple] = []
 
     def add(self, doc, ids: bytes) -> None:
@@ -111,17 +115,16 @@ class TierPacker:
         self._emit(pieces, context)
 
     def _emit(self, pieces: list[_Piece], context: int) -> None:
-        group = self.made[context] // max(1, self.step_tokens // context)
+        offset, nth = 0, self.made[context]
         self.made[context] += 1
-        step, offset = self.base + (self.contexts.index(context) << 32) + group, 0
         for p in pieces:
-            self.rows.append((p.doc, p.start, p.length, zlib.crc32(p.ids), p.tokens, self.sequence, offset, context, step))
+            self.rows.append((p.doc, p.start, p.length, zlib.crc32(p.ids), p.tokens, self.sequence, offset, context, self.partition, nth))
             offset += p.length
         self.sequence += 1
 
 
 def _pack(path: str, contexts: tuple[int, ...], end: bytes):
-    columns = [c.split()[0] for c in PIECES.split(", ")]
+    columns = [c.split()[0] for c in _PACKED.split(", ")]
 
     def frame(packer: TierPacker) -> pd.DataFrame:
         out = pd.DataFrame(packer.rows, columns=columns)
@@ -146,16 +149,30 @@ def _pack(path: str, contexts: tuple[int, ...], end: bytes):
     return run
 
 
-def packed_pieces(docs: DataFrame, tokenizer_path: str, contexts: tuple[int, ...] = CONTEXTS, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all documents (doc_id, text): PIECES.
+def packed_pieces(docs: DataFrame, tokenizer_path: str, contexts: tuple[int, ...] = CONTEXTS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """The pieces of all documents (doc_id, text): PIECES and step_group.
 
     A document is its ids and then end_id; a null or empty text is the end id alone. Each id lies in exactly one piece.
     sequence_id is unique, offset gapless within it. Sequences of `context` tokens are full but for the last one of a
-    task, which is to be padded to the longest context. Null and repeated doc_ids are packed as rows of their own; other
-    columns are left out; an empty table gives no rows. Contexts must be powers of two.
+    task, which is to be padded to the longest context. A step group has sequences of one context alone, of step_tokens
+    together or a little less; the groups of a context differ by one sequence at most. Null and repeated doc_ids are packed
+    as rows of their own; other columns are left out; an empty table gives no rows. Contexts must be powers of two.
     """
     end = np.array([end_id], "<u4").tobytes()
-    return docs.select("doc_id", "text").mapInPandas(_pack(tokenizer_path, contexts, end), PIECES)
+    pieces = stored(docs.select("doc_id", "text").mapInPandas(_pack(tokenizer_path, contexts, end), _PACKED), "pieces")
+    made = sorted(pieces.groupBy("part", "context").agg(F.max("nth") + 1).collect())  # some numbers for each task
+    totals: dict[int, int] = dict.fromkeys(contexts, 0)
+    before = []
+    for part, context, n in made:
+        before.append((part, context, totals[context]))
+        totals[context] += n
+    sizes = [(c, i, n, -(-n // max(1, step_tokens // c))) for i, (c, n) in enumerate(sorted(totals.items()))]
+    spark = docs.sparkSession
+    places = spark.createDataFrame(before, "part int, context int, before long").join(F.broadcast(spark.createDataFrame(sizes, "context int, at int, total long, groups long")), "context")
+    # the groups of a context after those of shorter ones; number nth of n is in group nth * groups / n
+    group = F.col("at").cast("long") * (1 << 40) + F.expr("((before + nth) * groups) div total")
+    numbered = pieces.join(F.broadcast(places), ["part", "context"]).withColumn("step_group", group)
+    return numbered.select(*(c.split()[0] for c in PIECES.split(", ")), "step_group")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,6 +217,58 @@ def test_packing(spark, docs):
     assert packing.packed_pieces(docs.where("1 = 0"), P.path("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_step_groups_are_balanced_over_tasks(spark, parts):
+    rng = random.Random(parts)
+    rows = [(i, "word " * rng.choice([10, 100, 200, 700, 1500, 2500])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = packing.packed_pieces(df, P.path("byte_bpe_50k.json"), step_tokens=1 << 13).collect()
+    sequences = {r["sequence_id"]: (r["context"], r["step_group"]) for r in got}
+    sizes = defaultdict(lambda: defaultdict(int))
+    for context, group in sequences.values():
+        sizes[context][group] += 1
+    assert set(sizes) == set(packing.CONTEXTS)
+    for context, groups in sizes.items():
+        assert max(groups.values()) - min(groups.values()) <= 1 and max(groups.values()) <= (1 << 13) // context
+        assert len(groups) == -(-sum(groups.values()) // ((1 << 13) // context))
+    assert len({g for _, g in sequences.values()}) == sum(map(len, sizes.values()))  # a group has one context
+
+
+def _ids(name, text):
+    from tokenizers import Tokenizer
+
+    _ids.known = getattr(_ids, "known", {})
+    t = _ids.known.setdefault(name, Tokenizer.from_file(P.path(name)))
+    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+
+
+def test_packing_and_token_queries_hold_every_id(spark):
+    """The registered queries against the tokenizers library on whole texts."""
+    from corpusgraph.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in QUERIES["op3_packing"](spark, sf).collect():
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == set(texts)
+    for doc, own in pieces.items():
+        ids, at = _ids("byte_bpe_50k.json", texts[doc]), 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + r["length"]].tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    for s in sequences.values():
+        s.sort()
+        assert [o for o, _ in s] == [0, *np.cumsum([n for _, n in s])[:-1].tolist()] and sum(n for _, n in s) <= 2048
+    at = 0
+    for r in sorted(QUERIES["op8_token_files"](spark, sf).collect(), key=lambda r: r["doc_id"]):
+        ids = _ids("word_bpe_49k.json", texts[r["doc_id"]])
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_tiers_fill_windows():
     p = packing.TierPacker(packing.CONTEXTS, 0)
     rng = np.random.default_rng(4)

@@ -7,6 +7,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusgraph.llm import decontam, jaccard, langid, linededup
 from corpusgraph.llm.common import shingles, word_hashes
 from corpusgraph.llm.components import components
@@ -243,6 +245,19 @@ def test_languages(spark):
     assert docs.where("rejected").count() <= 0.01 * docs.count()
 
 
+def test_held_out_labels_teach_nothing(spark, tmp_path):
+    """Held-out rows with a label nobody else has, and then with none: the predictions are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = []
+    for name, label in (("own", F.lit("xx")), ("none", F.lit(None).cast("string"))):
+        held = langid.held_out(F.col("doc_id"))
+        docs.withColumn("lang", F.when(held, label).otherwise(F.col("lang"))).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = QUERIES["op5_language_id"](spark, f"{tmp_path}/{name}").collect()
+        assert {r["lang_pred"] for r in rows} <= {"en", "fr", "de", "es", "und"} and any(r["held_out"] for r in rows)
+        got.append(sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in rows))
+    assert got[0] == got[1]
+
+
 @pytest.mark.parametrize("n_rare", [3, 60])
 def test_a_rare_language_rejects_too(spark, n_rare):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text", "lang").orderBy("doc_id").collect()
