@@ -106,7 +106,7 @@ def _dealt(n_slices: int):
                     keys = sets[first]
                     slices = ((keys >> np.uint64(32)) * np.uint64(n_slices) >> np.uint64(32)).astype(np.int64)
                     ends = np.searchsorted(slices, np.arange(n_slices + 1))
-                    low, prints = keys.astype("<u4"), names.astype("<u4").tobytes()
+                    low, prints = keys.astype("<u4"), names.astype("<u8").tobytes()
                     info = names.tobytes() + sizes.astype("<i8").tobytes() + local.astype("<i8").tobytes()
                     told = chunk % n_slices
                     rows = [(s, chunk, low[x:y].tobytes(), places[x:y].tobytes(), prints, info if s == told else b"") for s, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if y > x or s == told]
@@ -121,7 +121,9 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     keys = np.concatenate([np.frombuffer(x, "<u4") for x in rows["keys"]])
     places = [np.frombuffer(x, "<u2") for x in rows["places"]]
     known = np.concatenate(places) == _SHARED_DOC
-    prints = np.concatenate([np.append(np.frombuffer(x, "<u4"), np.uint32(0))[np.where(p == _SHARED_DOC, len(x) // 4, p)] for x, p in zip(rows["prints"], places, strict=True)])
+    names = [np.frombuffer(x, "<u8") for x in rows["prints"]]
+    ranks = np.unique(np.concatenate(names))  # sets by number, so that a number and a key fit in 64 bits
+    prints = np.concatenate([np.append(np.searchsorted(ranks, x), len(ranks))[np.where(p == _SHARED_DOC, len(x), p)].astype(np.uint64) for x, p in zip(names, places, strict=True)])
     both = np.sort(keys.astype(np.uint64) << np.uint64(32) | prints)
     high = both >> np.uint64(32)
     twice = high[1:][(high[1:] == high[:-1]) & (both[1:] != both[:-1])]
@@ -129,10 +131,10 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     at = np.minimum(np.searchsorted(shared, keys), max(0, len(shared) - 1))
     hit = shared[at] == keys if len(shared) else np.zeros(len(keys), bool)
     out, first = [], 0
-    for chunk, p, x, info in zip(rows["chunk"], places, rows["prints"], rows["info"], strict=True):
+    for chunk, p, x, info in zip(rows["chunk"], places, names, rows["info"], strict=True):
         own = p[hit[first : first + len(p)]]
         first += len(p)
-        out.append((chunk, np.bincount(own[own != _SHARED_DOC], minlength=len(x) // 4).astype("<u4").tobytes(), info))
+        out.append((chunk, np.bincount(own[own != _SHARED_DOC], minlength=len(x)).astype("<u4").tobytes(), info))
     return pd.DataFrame(out, columns=["chunk", "counts", "info"])
 
 

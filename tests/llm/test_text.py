@@ -6,7 +6,6 @@ import re
 import duckdb
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import decontam, jaccard, langid, linededup
