@@ -103,8 +103,14 @@ class CorpusStore:
 
     def upsert(self, tables: dict[str, DataFrame]) -> None:
         """New versions of documents (id and the stored columns), with their chunks, document_tags and document_relations: what
-        these documents had before goes, and so do the edges that start at them; edges of others to them stay."""
+        these documents had before goes, and so do the edges that start at them; edges of others to them stay, and so does the
+        time at which a document was created (created_at, if it is stored)."""
         ids = stored(tables["documents"].select("id").distinct(), "ids")
+        old = self.read("documents", self._buckets("documents", ids))
+        if old is not None and "created_at" in old.columns:
+            first = stored(old.join(ids, "id", "left_semi").select("id", F.col("created_at").alias("__first")), "first-times")
+            new = tables["documents"].join(first, "id", "left").withColumn("created_at", F.coalesce("__first", "created_at"))
+            tables = tables | {"documents": new.select(old.columns)}
         self._change_edges(self._edges_of(ids, ("document_relations",)), tables.get("document_relations"))
         for name in ("chunks", "document_tags", "documents"):
             if name in tables or name != "documents":

@@ -105,6 +105,17 @@ def test_patches(spark, store):
     assert {int(b.split("=")[1]) for b, f in names(store, "documents").items() if before.get(b) != f} <= touched
 
 
+def test_the_time_of_the_first_version_stays(spark, tmp_path):
+    kind = "id string, title string, created_at timestamp"
+    day = lambda n: f"2024-01-0{n} 00:00:00"
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, title string, t string").select("id", "title", F.col("t").cast("timestamp").alias("created_at"))
+    s = CorpusStore(spark, f"{tmp_path}/dated", 4)
+    s.create({"documents": rows(("a", "x", day(1)), ("b", "y", day(2)))})
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in s.read("documents").schema] == kind.split(", ")
+    s.upsert({"documents": rows(("a", "new", day(3)), ("c", "z", day(3)))})
+    assert {r["id"]: (r["title"], str(r["created_at"])) for r in s.read("documents").collect()} == {"a": ("new", day(1)), "b": ("y", day(2)), "c": ("z", day(3))}
+
+
 WORDS = "rain pump tank valve flow gauge".split()
 
 
