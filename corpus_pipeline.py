@@ -1,4 +1,11 @@
-"""A corpus from raw documents to training sequences: five stages, each on what the one before kept."""
+"""A corpus from raw documents to training sequences: five stages, each on what the one before kept.
+
+Rows are documents by their doc_id. A null doc_id can't be told from another, so such rows are judged by their text where a stage
+looks at texts alone (language ID, packing) and pass the stages that compare documents (line dedup, near duplicates,
+decontamination) as they are. Rows that repeat a doc_id with one text are one document in several copies: they are kept or dropped
+together. Rows that repeat a doc_id with different texts are compared as documents of their own, but dropped together where one of
+them is a near copy of another document or holds a benchmark item.
+"""
 
 from __future__ import annotations
 
