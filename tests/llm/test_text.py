@@ -452,3 +452,24 @@ def test_pipeline_of_nothing(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").where("1 = 0")
     for _, stage in p.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_pipeline_with_null_and_repeated_ids(spark):
+    """Rows without an id and rows that repeat one go through all stages: none gets lost or crashes a stage."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*p.COLUMNS)
+    some = {r["doc_id"]: r for r in docs.where("length(text) > 400").orderBy("doc_id").limit(3).collect()}
+    a, b, c = (tuple(r) for r in some.values())
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    more = [(None, *a[1:]), (None, *a[1:]), (None, *b[1:]), c, (None, item, "en", None, None), (None, None, None, None, None), (900001, item, None, None, None)]
+    df = docs.where(~docs["doc_id"].isin(list(some))).unionByName(spark.createDataFrame([a, b, c, *more], docs.schema))
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        df = spark.createDataFrame(out.collect(), out.schema)
+        without = sorted(r["text"] for r in df.where("doc_id is null").collect())
+        assert without == sorted([a[1], a[1], b[1], item]), name  # the one without a text goes with language ID
+        assert df.where(df["doc_id"] == c[0]).count() in (0, 2), name
+    assert df.where("doc_id = 900001").count() == 0
+    pieces = p.STAGES[-1][1](spark, df, SF)
+    assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in df.select("doc_id").distinct().collect()}
