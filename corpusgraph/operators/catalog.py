@@ -104,11 +104,12 @@ def graph_view(docs: DataFrame, relations: DataFrame, limit: int = 100) -> tuple
     return nodes.select("id", "title", "doc_type"), edges
 
 
-def code_context(docs: DataFrame, relations: DataFrame, lookups: DataFrame) -> DataFrame:
+def code_context(docs: DataFrame, relations: DataFrame, lookups: DataFrame, most: int = LISTED) -> DataFrame:
     """(lookup_id, id, title, code, related) of the source files whose title contains a lookup's file_path.
 
     lookups: lookup_id, file_path, symbol (may be null). Code: two lines before and fifty from the first line with the symbol
-    on, else the first 3000 characters; without a symbol the first 5000. `_` and `%` in file_path are wildcards.
+    on, else the first 3000 characters; without a symbol the first 5000. `_` and `%` in file_path are wildcards. related are the
+    first `most` relations of the file.
     """
     code = docs.where(F.col("doc_type") == "source_code").select("id", "title", "content")
     asked, low = lookups.withColumn("base", F.lower("file_path")), code.withColumn("low", F.lower("title"))
@@ -119,7 +120,8 @@ def code_context(docs: DataFrame, relations: DataFrame, lookups: DataFrame) -> D
     around = F.array_join(F.slice(lines, start.cast("int"), (first + 50 - start).cast("int")), "\n")
     shown = F.when(F.col("symbol").isNull() | (F.col("symbol") == ""), F.substring(F.coalesce("content", F.lit("")), 1, 5000)).when(first > 0, around).otherwise(F.substring("content", 1, 3000))
     item = F.struct("other_title", "other_type", "relation_type", "confidence", "other_id")
-    related = relations_of(relations, docs, hits.select("id"), self_loops_once=True).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("related"))
+    ends = relations_of(relations, docs, hits.select("id"), self_loops_once=True).select("document_id", item.alias("o"))
+    related = _first(ends, "document_id", F.col("o"), most).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list("o")).alias("related"))
     out = hits.select("lookup_id", "id", "title", shown.alias("code")).join(related, "id", "left")
     return out.withColumn("related", F.coalesce("related", F.array().cast(out.schema["related"].dataType))).select("lookup_id", "id", "title", "code", "related")
 

@@ -13,6 +13,7 @@ from corpusgraph.operators.store import CorpusStore
 from corpusgraph.operators.textindex import TextIndex
 from corpusgraph.sources import files
 from corpusgraph.streaming.ingest import ingest_stream, read_stored
+from corpusgraph.streaming.side_tables import SideTables, write_side_tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -550,13 +551,16 @@ from b join m on m.base = b.base join t on t.low = m.low where b.id <> t.id grou
 """
 
 
-def _j1(spark, sf_dir):
-    docs = _view(spark, sf_dir, _J1_DOCS)
+def _j1_refs(spark, sf_dir):
     files = _docs(spark, sf_dir, _J1_DOCS)
     boards = files.where("parser = 'schematic'")
     refs = extract.code_references(files.where("parser = 'code'")).unionByName(extract.link_references(files.where("parser = 'text'")))
     parts = extract.schematic_references(extract.schematic_components(boards), extract.schematic_signals(boards))
-    return relations.relations_by_reference(docs, refs.unionByName(parts.select("document_id", F.lit(0).alias("pos"), "ref")))
+    return refs.unionByName(parts.select("document_id", F.lit(0).alias("pos"), "ref"))
+
+
+def _j1(spark, sf_dir):
+    return relations.relations_by_reference(_view(spark, sf_dir, _J1_DOCS), _j1_refs(spark, sf_dir))
 
 
 @_query(_J1)
@@ -613,6 +617,37 @@ def j4_discover_relations(spark, sf_dir):
     return relations.discover_relations(found, known[0].unionByName(known[1]).unionByName(known[2])).drop("description")
 
 
+@_query(f"""
+with v as (select 'w' || vec_id as id, embedding::double[] as e from embeddings), u as (select id, e, sqrt(list_inner_product(e, e)) as n from v where list_inner_product(e, e) > 0),
+d as (select a.id as s, b.id as t, 1 - list_inner_product(a.e, b.e) / a.n / b.n as d from u a join u b on a.id <> b.id), r as (select *, row_number() over (partition by s order by d, t) as rk from d where d < 0.75)
+select s as source_id, t as target_id, 'related_to' as relation_type, round(1 - d, 3)::double as confidence from r where rk <= 5
+""")
+def j6_similarity_by_projection(spark, sf_dir):
+    """Every vector as a document of its own, by random projections: the same as the exact form up to NEIGHBOURS vectors."""
+    chunks = _view(spark, sf_dir, "select 'w' || cast(vec_id as string) as document_id, embedding from embeddings")
+    docs = chunks.select(F.col("document_id").alias("id"))
+    return relations.relations_by_similarity(chunks, docs, threshold=0.75, exact=False).drop("description")
+
+
+@_query(f"""
+select * from (select source_id, target_id, relation_type, confidence from ({_J1}) a union all select source_id, target_id, relation_type, confidence from ({ORACLE_SQL["j2_relations_by_keyword"]}) b) e
+where length(source_id) % 2 = 1 or length(target_id) % 2 = 0
+""")
+def j7_incremental_discovery(spark, sf_dir):
+    """The corpus in two batches by their side tables: the second one is related to both, the first to itself."""
+    docs, refs = files.stored(_view(spark, sf_dir, _J1_DOCS), "docs"), files.stored(_j1_refs(spark, sf_dir), "refs")
+    boards = _docs(spark, sf_dir, fx.BOARDS)
+    keywords = files.stored(extract.match_keywords(extract.schematic_components(boards), extract.schematic_signals(boards)), "keywords")
+    out, found = files.new_folder(spark, "incremental"), None
+    for n in (0, 1):
+        new = docs.where(F.length("id") % 2 == n)
+        write_side_tables(new, spark.createDataFrame([], "document_id string, embedding array<float>"), out, n)
+        index = SideTables(spark, out, n)
+        rows = index.by_reference(new, refs.where(F.length("document_id") % 2 == n)).unionByName(index.by_keyword(new, keywords.where(F.length("document_id") % 2 == n)))
+        found = rows if found is None else found.unionByName(rows)
+    return found.select("source_id", "target_id", "relation_type", F.round("confidence", 6).alias("confidence"))
+
+
 @_query(f"""
 with e as (select *, row_number() over (partition by source_id, target_id, relation_type order by description, confidence) as k from ({fx.EDGES}) x), ids as (select 'n' || doc_id as id from documents where doc_id % 5 <> 0)
 select source_id, target_id, relation_type, description, confidence, case when source_id not in (select id from ids) then 'no source' when target_id not in (select id from ids) then 'no target' when relation_type = 'depends_on' and confidence = 0.1 then 'duplicate' when k > 1 then 'duplicate' end as reason from e
@@ -771,6 +806,14 @@ def g6_ingest_report(spark, sf_dir):
     return out.select("id", "title", "chunks_count", F.coalesce(summary, none).alias("summary"), "relations_count", F.coalesce(rels, none).alias("rels"))
 
 
+@_query(f"""
+with r as (select document_id, direction, other_id, relation_type, (row_number() over (partition by document_id order by direction = 'incoming', relation_type nulls first, other_title nulls first, other_id nulls first, confidence nulls first, description nulls first) - 1)::bigint as place from {_BOTH} b)
+select document_id, direction, other_id, relation_type, place, (place // 7)::bigint as page from r
+""")
+def g7_relation_pages(spark, sf_dir):
+    return catalog.relation_pages(_view(spark, sf_dir, fx.EDGES), _view(spark, sf_dir, _G_DOCS), 7).select("document_id", "direction", "other_id", "relation_type", "place", "page")
+
+
 # --- maintenance ------------------------------------------------------------------------------------
 
 _M_NEW = "select 'n' || cast(doc_id as string) as id, 'new_' || cast(doc_id as string) as title, lang, source from documents where doc_id % 2 = 0"
@@ -825,3 +868,21 @@ def m3_delete_documents(spark, sf_dir):
     left, rels = {n: store.read(n) for n in ("documents", "document_tags")}, store.read("document_relations")
     kind = lambda k, df, a, b: df.select(F.lit(k).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
     return kind("doc", left["documents"], "id", "title").unionByName(kind("link", left["document_tags"], "document_id", "tag")).unionByName(kind("relation", rels, "source_id", "target_id"))
+
+
+@_query(f"""
+with new as (select 'n' || doc_id as id from documents where doc_id % 4 = 0), more as (select id, 'again ' || id as title from new union all select 'x' || id, 'first ' || id from new)
+select 'doc' as kind, id as a, title as b from more union all select 'doc', id, title from ({_G_DOCS}) d where id not in (select id from new)
+union all select 'link', id, 'fresh' from more union all select 'link', document_id, tag from ({fx.TAGS}) t where document_id not in (select id from new)
+union all select 'relation', id, 'x' || id from new union all select 'relation', source_id, target_id from ({fx.EDGES}) e where source_id not in (select id from new)
+""")
+def m4_upsert(spark, sf_dir):
+    """A quarter of the documents come again, with other tags and edges, beside as many new ones."""
+    store = CorpusStore(spark, files.new_folder(spark, "store"), 16)
+    store.create({"documents": _view(spark, sf_dir, _G_DOCS).select("id", "title"), "document_tags": _view(spark, sf_dir, fx.TAGS), "document_relations": _view(spark, sf_dir, fx.EDGES)})
+    new = _view(spark, sf_dir, "select 'n' || cast(doc_id as string) as id from documents where doc_id % 4 = 0")
+    docs = new.select("id", F.concat(F.lit("again "), "id").alias("title")).unionByName(new.select(F.concat(F.lit("x"), "id").alias("id"), F.concat(F.lit("first "), "id").alias("title")))
+    edges = new.select(F.col("id").alias("source_id"), F.concat(F.lit("x"), "id").alias("target_id"), F.lit("references").alias("relation_type"), F.lit("new").alias("description"), F.lit(1.0).alias("confidence"))
+    store.upsert({"documents": docs, "document_tags": docs.select(F.col("id").alias("document_id"), F.lit("fresh").alias("tag")), "document_relations": edges})
+    kind = lambda k, t, a, b: store.read(t).select(F.lit(k).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
+    return kind("doc", "documents", "id", "title").unionByName(kind("link", "document_tags", "document_id", "tag")).unionByName(kind("relation", "document_relations", "source_id", "target_id"))
