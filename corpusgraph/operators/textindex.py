@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from corpusgraph.functions.batches import slices
 from corpusgraph.operators.search import asked_tokens, document_tokens, rank_by_frequency, rank_by_proximity
 from corpusgraph.sources.files import new_folder
 from corpusgraph.sources.lookup import BUCKETS, look_up, write_buckets
@@ -23,17 +26,26 @@ def postings_of(docs: DataFrame, tokenizer: str = "simple") -> DataFrame:
     """(token, document_id, tf, positions): positions from 0 in title and content, ascending; no row is shuffled."""
     own = document_tokens(docs, tokenizer)
     schema = T.StructType([T.StructField("token", T.StringType()), own.schema["document_id"], T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for doc, words in zip(b["document_id"], b["tokens"], strict=True):
-                at: dict[str, list[int]] = {}
-                for i, w in enumerate(words):
-                    at.setdefault(w, []).append(i)
-                if at:
-                    yield pd.DataFrame({"token": list(at), "document_id": doc, "tf": [len(p) for p in at.values()], "positions": list(at.values())})
-
-    return own.mapInPandas(run, schema)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ids, lists = b.column("document_id"), b.column("tokens")
+            words = lists.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            sizes = np.diff(lists.offsets.to_numpy())
+            doc, codes = np.repeat(np.arange(len(ids)), sizes), words.indices.to_numpy()
+            at = np.arange(len(codes), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+            key = doc * len(words.dictionary) + codes
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            ends = np.append(first, len(codes)).astype(np.int32)
+            one = order[first]
+            columns = [words.dictionary.take(pa.array(codes[one])), ids.take(pa.array(doc[one])), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order]))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return own.mapInArrow(run, schema)
 
 
 class TextIndex:

@@ -1,0 +1,45 @@
+"""Rows dealt to tasks, batches in slices, lookups of many keys."""
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from corpusgraph import fixtures
+from corpusgraph.functions.batches import SLICE_BYTES, slices
+from corpusgraph.operators import textindex
+from corpusgraph.sources.lookup import _among
+
+
+def test_short_rows_of_one_file_are_dealt_to_tasks(spark, tmp_path):
+    spark.range(40_000).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name"), F.lit(1).alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    n = [r["count"] for r in fixtures.view(spark, str(tmp_path), fixtures.CODE).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(n) == 4 and sum(n) == 40_000 and max(n) < 11_000
+
+
+def test_slices_bound_what_is_held():
+    batch = pa.RecordBatch.from_pydict({"i": range(4000), "t": ["x" * 5000] * 4000})
+    parts = list(slices([batch]))
+    assert max(p.nbytes for p in parts) < 1.1 * SLICE_BYTES and sum((p.column("i").to_pylist() for p in parts), []) == list(range(4000))
+
+
+def test_chunker_holds_no_batch_of_chunks(spark):
+    """Chunks of a batch of large texts come in several batches."""
+    from corpusgraph.operators import chunking
+
+    docs = spark.range(400).select(F.col("id").cast("string").alias("document_id"), F.lit("a.txt").alias("filename"), F.repeat(F.lit("word " * 100 + "\n\n"), 40).alias("content"), F.lit("c").alias("language")).coalesce(1)
+    seen = chunking.chunk_paragraphs(docs).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
+    assert chunking.chunk_paragraphs(docs).select("document_id").distinct().count() == 400 and len(seen) > 0
+
+
+def test_postings_of_a_slice_come_in_one_batch(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", "a b", "b c a " + "x" * (i % 3)) for i in range(500)], "id string, title string, content string").coalesce(1)
+    rows = textindex.postings_of(docs).collect()
+    got = {(r["document_id"], r["token"]): (r["tf"], r["positions"]) for r in rows}
+    assert len(got) == len(rows) and got["d0", "a"] == (2, [0, 4]) and got["d0", "b"] == (2, [1, 2]) and got["d2", "xx"] == (1, [5])
+
+
+def test_many_keys_are_compared_by_halves(spark):
+    values = sorted(f"k{i}é" for i in range(300))
+    df = spark.range(1000).select(F.concat(F.lit("k"), "id", F.lit("é")).alias("k"))
+    assert df.where(_among(F.col("k"), values)).count() == 300
+    text = str(df.where(_among(F.col("k"), values))._jdf.queryExecution().optimizedPlan())
+    assert text.count("<") > 10
