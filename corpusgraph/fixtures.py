@@ -66,10 +66,24 @@ union all select 'n' || cast((doc_id * 7 + doc_id % 3) % 200 as string), 'n' ||
 """
 TAGS = "select 'n' || cast(doc_id as string) as document_id, lang as tag from documents where lang is not null union all select 'n' || cast(doc_id as string), source from documents where source is not null"
 
+#: Tables whose short rows become whole files, and how many rows of them a task has at most.
+DEALT, ROWS_AT_ONCE = frozenset({"part", "supplier"}), 10_000
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the rows of a short one are dealt to tasks by number, as few bytes of it are many files' work."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in DEALT:
+        return df
+    n = df.count()  # of the files' footers
+    parts = max(-(-n // ROWS_AT_ONCE), min(n // 1000, spark.sparkContext.defaultParallelism))
+    return df.repartition(parts) if parts > 1 else df
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of a view over the driver's tables."""
     names = [t for t in ("part", "supplier", "documents", "embeddings", "conversations", "benchmark", "pages", "labels") if t in sql.replace("(", " ").replace(")", " ").split()]
-    return spark.sql(_bound(sql, names), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
+    return spark.sql(_bound(sql, names), **{t: _read(spark, sf_dir, t) for t in names})
 
 
 def _bound(sql: str, names: list[str]) -> str:
