@@ -1,10 +1,12 @@
 """Rows dealt to tasks, batches in slices, lookups of many keys."""
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusgraph import fixtures
-from corpusgraph.functions.batches import SLICE_BYTES, slices
+from corpusgraph.functions.batches import SLICE_BYTES, map_slices, slices
 from corpusgraph.operators import textindex
 from corpusgraph.sources.lookup import _among
 
@@ -21,13 +23,10 @@ def test_slices_bound_what_is_held():
     assert max(p.nbytes for p in parts) < 1.1 * SLICE_BYTES and sum((p.column("i").to_pylist() for p in parts), []) == list(range(4000))
 
 
-def test_chunker_holds_no_batch_of_chunks(spark):
-    """Chunks of a batch of large texts come in several batches."""
-    from corpusgraph.operators import chunking
-
-    docs = spark.range(400).select(F.col("id").cast("string").alias("document_id"), F.lit("a.txt").alias("filename"), F.repeat(F.lit("word " * 100 + "\n\n"), 40).alias("content"), F.lit("c").alias("language")).coalesce(1)
-    seen = chunking.chunk_paragraphs(docs).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
-    assert chunking.chunk_paragraphs(docs).select("document_id").distinct().count() == 400 and len(seen) > 0
+def test_functions_get_slices_of_a_batch(spark):
+    docs = spark.range(400).select("id", F.repeat(F.lit("word "), 2000).alias("content")).coalesce(1)
+    seen = map_slices(docs, lambda parts: (pd.DataFrame({"n": [len(p)]}) for p in parts), T.StructType([T.StructField("n", T.LongType())])).collect()
+    assert sum(r["n"] for r in seen) == 400 and max(r["n"] for r in seen) < 150
 
 
 def test_postings_of_a_slice_come_in_one_batch(spark, monkeypatch):
