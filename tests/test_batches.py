@@ -42,3 +42,24 @@ def test_many_keys_are_compared_by_halves(spark):
     assert df.where(_among(F.col("k"), values)).count() == 300
     text = str(df.where(_among(F.col("k"), values))._jdf.queryExecution().optimizedPlan())
     assert text.count("<") > 10
+
+
+def test_files_are_stored_by_kind_without_a_sort(spark, tmp_path):
+    from corpusgraph.operators.parse import parse_once
+
+    docs = spark.createDataFrame([("a", "a.c", "int fill(int a) {\n    pump(a);\n}\n", "c", "code")], "document_id string, filename string, content string, language string, parser string")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    writes = []
+    write = type(docs.write).parquet
+
+    def seen(self, path, *a, **b):
+        writes.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        return write(self, path, *a, **b)
+
+    type(docs.write).parquet = seen
+    try:
+        parsed = parse_once(docs, f"{tmp_path}/parsed")
+    finally:
+        type(docs.write).parquet = write
+    assert writes == ["6"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert [r["caller"] for r in parsed["call"].collect()] == ["fill"]
