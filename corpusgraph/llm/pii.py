@@ -1,11 +1,11 @@
 """Personal data: spans found by fixed rules, and further candidates chosen by gradient-boosted trees.
 
 High-recall generators propose overlapping spans, in the forms that the rules take and in disguised ones. Each becomes a
-vector of small integers (its format, what stands around it). Trees are boosted on a bounded sample: positives are the
+vector of small integers (its format, what stands around it). Trees are boosted on half of all texts: positives are the
 rules' finds, each rewritten in its place as people write to escape rules ("(at)" for "@", dots in brackets or in cards, no
 plus before a phone), so that no rule takes it any more; negatives are the candidates of the texts as they are that no
 rule of their kind confirms, and so are those that lie on another rule's find. So the trees learn what the rules cannot see.
-A threshold for each kind, calibrated on the other half of the sample, selects.
+A threshold for each kind, calibrated on the other half of the texts, selects.
 
 Only DataFrame functions touch texts; the trees are compiled into one column expression.
 """
@@ -50,8 +50,6 @@ CONTEXT_CHARS = 24
 CONTEXT_WORDS = r"(?i)\b(?:mail|e-mail|email|contact|phone|tel|call|mobile|fax|card|visa|credit|ip|host|address|server)\b"
 
 #: The generators bound the parts of a candidate (64 and 63 characters of an address, 8 labels), not of a rule's find.
-#: Bound of the fit: so many documents with candidates, those with the smallest hashes.
-FIT_DOCS = 20_000
 ROUNDS, LEARNING_RATE, LEAST_ROWS = 40, 0.3, 5
 MIN_PRECISION = 0.95
 FEATURES = ("kind", "digits", "separators", "letters", "valid", "before", "after", "context", "quad")
@@ -204,7 +202,7 @@ class Boosted:
     thresholds: tuple[float, ...]
 
     def score(self, x: tuple) -> float:
-        return 1 / (1 + math.exp(-(self.base + sum(t.score(x) for t in self.trees))))
+        return _sigmoid(self.base + sum(t.score(x) for t in self.trees))
 
     def column(self, x: list[Column]) -> Column:
         total = F.lit(self.base)
@@ -216,13 +214,17 @@ class Boosted:
         return self.column(x) >= F.get(F.array(*map(F.lit, self.thresholds)), x[0])
 
 
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))  # exp of more would not be a float
+
+
 def boost(rows: list[tuple[tuple, int, int]], depth: int = 3) -> tuple[float, tuple[Tree, ...]]:
     """Logistic boosting on (features, rows, positives)."""
     n, p = sum(r[1] for r in rows), sum(r[2] for r in rows)
     base = math.log((p + 0.5) / (n - p + 0.5))
     scores, trees = [base] * len(rows), []
     for _ in range(ROUNDS):
-        prob = [1 / (1 + math.exp(-s)) for s in scores]
+        prob = [_sigmoid(s) for s in scores]
         grads = [(pos - n * q, n * q * (1 - q)) for (_, n, pos), q in zip(rows, prob, strict=True)]
         tree = _grow([r[0] for r in rows], grads, depth)
         trees.append(tree)
@@ -252,11 +254,11 @@ def _overlap(a: Column, b: Column) -> Column:
     return (a["kind"] == b["kind"]) & _touches(a, b)
 
 
-def examples(sample: DataFrame) -> DataFrame:
-    """(fits, y, FEATURES) of the candidates of a sample (text, fits): positives in texts around disguised finds,
+def examples(texts: DataFrame) -> DataFrame:
+    """(fits, y, FEATURES) of the candidates of texts (text, fits): positives in texts around disguised finds,
     negatives in the texts as they are."""
     text = F.col("text")
-    found = sample.select("text", "fits", F.concat(*(rule_spans(text, k) for k in KINDS)).alias("found"))
+    found = texts.select("text", "fits", F.concat(*(rule_spans(text, k) for k in KINDS)).alias("found"))
     told = found.select("text", "fits", F.explode("found").alias("r"))
     which = F.pmod(F.xxhash64("text", "r.s"), F.lit(2))
     left = F.when(F.col("r.s") > 0, F.substr(text, F.greatest(F.col("r.s") - (2 * CONTEXT_CHARS - 1), F.lit(1)), F.least(F.lit(2 * CONTEXT_CHARS), F.col("r.s")))).otherwise("")
@@ -270,13 +272,15 @@ def examples(sample: DataFrame) -> DataFrame:
     return both.select("fits", "y", *(x.alias(n) for n, x in zip(FEATURES, candidate_features(text, F.col("c")), strict=True)))
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Boosted | None:
-    """Trees from a sample of at most some fit_docs documents; None without positives. The driver gets counts by feature vector."""
+def fit(docs: DataFrame) -> Boosted | None:
+    """Trees from the candidates of all documents; None without positives.
+
+    The driver gets counts by feature vector. Features are few small integers, so their number does not grow with the
+    documents.
+    """
     text = F.col("text")
-    key = F.shiftrightunsigned(uniform_key("doc_id", "text", seed=10), 33).cast("double") / float(1 << 31)
-    share = min(1.0, fit_docs / max(1, docs.count()))
-    sample = docs.where(text.isNotNull() & (key < share) & text.rlike(GENERATOR_TRIGGER)).select("text", (F.pmod(uniform_key("doc_id", "text", seed=11), F.lit(2)) == 0).alias("fits"))
-    rows = examples(sample)
+    texts = docs.where(text.isNotNull() & text.rlike(GENERATOR_TRIGGER)).select("text", (F.pmod(uniform_key("doc_id", "text", seed=11), F.lit(2)) == 0).alias("fits"))
+    rows = examples(texts)
     counted = rows.groupBy("fits", *FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("p")).collect()
     sides = {side: [(tuple(r[f] for f in FEATURES), r["n"], r["p"]) for r in counted if r["fits"] == side] for side in (True, False)}
     if not sum(r[2] for r in sides[True]):

@@ -375,6 +375,13 @@ def test_pii_spans_that_no_rule_takes(spark):
         assert there > 50 and right[kind] >= 0.9 * there and right[kind] >= 0.9 * (right[kind] + wrong[kind]), kind
 
 
+def test_trees_are_fitted_on_all_documents(spark, monkeypatch):
+    got, examples = [], pii.examples
+    monkeypatch.setattr(pii, "examples", lambda texts: got.append(texts.count()) or examples(texts.where("1 = 0")))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("mail a@b.co "), "id").alias("text"))
+    assert pii.fit(docs) is None and got == [60_000]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("mail a@b.co, call +1 (743) 555-3824.",)], "text string")
     got = pii.with_spans(df.withColumn("t", F.col("text")), None).select(pii.redacted(F.col("t"), F.col("spans")))
