@@ -402,6 +402,21 @@ def test_decontamination_recall_of_long_items_and_paraphrases(spark):
     assert len(want & got) >= 0.95 * len(want)
 
 
+def test_latent_basis_covers_all_documents(spark):
+    """A few documents of many passages, each with words of its own, among 12,000 short ones: the basis has the direction of each."""
+    few = [[f"w{i}x{k}" for k in range(64)] for i in range(6)]
+    rows = [(i, f"short{i % 40} text{i % 31}") for i in range(12_000)] + [(100_000 + i, " ".join(w * 60)) for i, w in enumerate(few)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, "an item of the benchmark")], "item_id long, text string")
+    idf = decontam.idf_of(docs)
+    basis = decontam.latent_basis(docs, items, idf)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3) or not basis.any(axis=0).all()
+    for w in few:
+        names, tf = np.unique(decontam.features(word_hashes([" ".join(w)])[0]), return_counts=True)
+        x = tf * idf[names]
+        assert np.linalg.norm(x / np.linalg.norm(x) @ basis[names]) > 0.95
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
