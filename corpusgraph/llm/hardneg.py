@@ -203,7 +203,8 @@ def search(lists: Lists, probes: DataFrame, k: int, same: bool, visits: tuple[in
     """(place, no, id, score, rank): the k best rows of each probe, stored.
 
     probes: place (of an anchor), no, low, high; rows of the anchor's label if same is set, else of the others, with a score
-    from low to high; ties to the smaller id.
+    from low to high; ties to the smaller id. Joins are by merge: a planner that takes binary columns for short, or goes by the
+    compressed size of a shuffle, would collect blocks, groups or vectors of anchors in the driver.
     """
     spark, dim, n = lists.blocks.sparkSession, lists.centers.shape[1], len(lists.centers)
     shared = spark.sparkContext.broadcast((lists.centers, lists.radii, lists.first))
@@ -216,9 +217,9 @@ def search(lists: Lists, probes: DataFrame, k: int, same: bool, visits: tuple[in
         now = probes.withColumn("least", F.lit(_LEAST))
         if best is not None:
             kth = best.where(F.col("rank") == k).select("place", "no", F.col("score").alias("least"))
-            now = probes.join(kth, ["place", "no"], "left").withColumn("least", F.coalesce("least", F.lit(_LEAST)))
-        groups = now.join(anchors, "place").groupBy("cluster", "group").applyInPandas(_grouped, _GROUP)
-        tiles = groups.mapInPandas(_visits(shared, begin, end, dim), f"block int, {_GROUP}").join(lists.blocks, "block").drop("block")
+            now = probes.join(kth.hint("merge"), ["place", "no"], "left").withColumn("least", F.coalesce("least", F.lit(_LEAST)))
+        groups = now.join(anchors.hint("merge"), "place").groupBy("cluster", "group").applyInPandas(_grouped, _GROUP)
+        tiles = groups.mapInPandas(_visits(shared, begin, end, dim), f"block int, {_GROUP}").join(lists.blocks.hint("merge"), "block").drop("block")
         found = tiles.mapInPandas(_tiles(k, same, dim), _FOUND)
         if best is not None:
             found = found.unionByName(best.drop("rank"))
@@ -243,7 +244,7 @@ def hard_negatives(rows: DataFrame, is_anchor, n_positives: int = 5, n_negatives
     positives = search(lists, open_, n_positives, True, visits).select("place", F.col("rank").alias("no"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     window = positives.where("positive_score >= 0").select("place", "no", F.expr(f"({low} * positive_score + 99) div 100").alias("low"), F.expr(f"({high} * positive_score) div 100").alias("high"))
     negatives = search(lists, window, n_negatives, False, visits)
-    out = negatives.select("place", "no", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(positives, ["place", "no"]).join(anchors, "place")
+    out = negatives.select("place", "no", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(positives.hint("merge"), ["place", "no"]).join(anchors.hint("merge"), "place")
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 

@@ -84,3 +84,19 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = hardneg.op13_hard_negatives(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == brute([(i, (m + 1) % 10 if i % 7 == 0 else m, [int(np.floor(256 * y)) for y in v]) for i, m, v in rows], 100)
+
+
+def test_blocks_and_anchors_are_not_broadcast(spark, monkeypatch):
+    """Only the sizes of lists are: blocks, groups, and rows for each anchor, probe or positive meet by merge."""
+    rng, plans = np.random.default_rng(3), []
+    rows = [(i, i % 3, [float(y) for y in v]) for i, v in enumerate(clustered(rng, 600, 6, 8))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    keep = lambda df, name, f=hardneg.stored: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or f(df, name)
+    monkeypatch.setattr(hardneg, "stored", keep)
+    out = hardneg.hard_negatives(hardneg.vector_rows(df, "vec_id", "label", "embedding", 16), F.col("id") % 10 == 0, per_centroid=20, per_block=40, visits=(2,))
+    assert out.count()
+    best = [p for name, p in plans if name == "best"] + [out._jdf.queryExecution().executedPlan().toString()]
+    assert len(best) == 5
+    for p in best:
+        joins = [line for line in p.splitlines() if "HashJoin" in line or "NestedLoopJoin" in line]
+        assert "SortMergeJoin" in p and all("cluster" in line for line in joins), joins
